@@ -64,7 +64,7 @@ def threshold_graphs(g: DataFrame, thresholds=EDGE_THRESHOLDS) -> DataFrame:
     return g.select(F.explode(kept).alias("_t"), "src", "dst", "weight").select("_t.graph", "src", "dst", "weight")
 
 
-def weight_thresholds(edges: DataFrame, probabilities=(0.25, 0.5, 0.75), rows_at_once: int = 1_000_000) -> DataFrame:
+def weight_thresholds(edges: DataFrame, probabilities=(0.25, 0.5, 0.75), rows_at_once: int = 10_000) -> DataFrame:
     """Exact quantiles of the weights, interpolated: probability, weight.
 
     Equal weights are counted first. The value range is then narrowed around each wanted rank by histograms,

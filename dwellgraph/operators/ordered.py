@@ -82,24 +82,24 @@ class Sliced(Whole):
         prev, next = prev or {}, next or {}
         df = self.settle(df)
         position = F.struct(*order)
-        edge = [F.max_by(F.struct(F.lit(1).alias("_on"), *[_as(c, n) for n, c in prev.items()]), position).alias("_last"),
-                F.min_by(F.struct(F.lit(1).alias("_on"), *[_as(c, n) for n, c in next.items()]), position).alias("_first")]
+        edge = [F.max_by(F.struct(F.lit(1).alias("_on"), *[_as(c, n) for n, c in prev.items()]), position).alias("_carry_last"),
+                F.min_by(F.struct(F.lit(1).alias("_on"), *[_as(c, n) for n, c in next.items()]), position).alias("_carry_first")]
         across = Window.partitionBy(*self.keys).orderBy(SLICE)
         carry = (
             df.groupBy(*self.keys, SLICE).agg(*edge)
-            .withColumns({"_before": F.lag("_last").over(across), "_after": F.lead("_first").over(across)})
-            .drop("_last", "_first")
+            .withColumns({"_carry_before": F.lag("_carry_last").over(across), "_carry_after": F.lead("_carry_first").over(across)})
+            .drop("_carry_last", "_carry_first")
         )
         w = self._local().orderBy(*order)
         local = df.withColumns(
-            {"_head": F.row_number().over(w) == 1, "_tail": F.lead(F.lit(1)).over(w).isNull()}
+            {"_carry_head": F.row_number().over(w) == 1, "_carry_tail": F.lead(F.lit(1)).over(w).isNull()}
             | {n: F.lag(c).over(w) for n, c in prev.items()}
             | {n: F.lead(c).over(w) for n, c in next.items()}
         )
         joined = self._join_carry(local, self._carry(carry))
-        filled = {n: F.when(F.col("_head"), F.col(f"_before.{n}")).otherwise(F.col(n)) for n in prev}
-        filled |= {n: F.when(F.col("_tail"), F.col(f"_after.{n}")).otherwise(F.col(n)) for n in next}
-        return joined.withColumns(filled).drop("_head", "_tail", "_before", "_after")
+        filled = {n: F.when(F.col("_carry_head"), F.col(f"_carry_before.{n}")).otherwise(F.col(n)) for n in prev}
+        filled |= {n: F.when(F.col("_carry_tail"), F.col(f"_carry_after.{n}")).otherwise(F.col(n)) for n in next}
+        return joined.withColumns(filled).drop("_carry_head", "_carry_tail", "_carry_before", "_carry_after")
 
     def running(self, df, order, sums=None, maxes=None):
         sums, maxes = sums or {}, maxes or {}

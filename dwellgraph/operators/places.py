@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import HOT_ROWS, POI_RADIUS_M
 from ..functions.geo import RADIUS_ROUNDED_KM, dist_km_4
-from ..functions.text import form_encode, percent_encode, six_decimals
+from ..functions.text import KEPT, form_encode, percent_encode, six_decimals
 from .spread import spread_join
 
 # Fields of the two response documents.
@@ -94,8 +94,6 @@ def signed_requests(df: DataFrame, request: Column, secret: str, host: str = "")
     The request is percent-encoded but for reserved characters, the secret is appended, and the whole is
     form-encoded before hashing.
     """
-    from ..functions.text import KEPT
-
     signed = F.md5(form_encode(F.concat(percent_encode(request, KEPT), F.lit(secret))))
     df = df.withColumn("sn", signed)
     return df.withColumn("url", percent_encode(F.concat(F.lit(host), request, F.lit("&sn="), F.col("sn")), KEPT))

@@ -9,8 +9,11 @@ reach lies before b. Only the choice of starts is sequential: one pass over (pos
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..defaults import HOT_ROWS, REGION_GAP_S
@@ -20,6 +23,9 @@ from .stays import STAY_ORDER, USER, segments
 
 CELL = ["cid", "lon", "lat"]
 
+# Executors get the few functions below with the task and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def merge_regions(df: DataFrame, cut_s: int = REGION_GAP_S, lookahead: int = 2,
                   hot_rows: int | None = HOT_ROWS) -> DataFrame:
