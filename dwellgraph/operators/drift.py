@@ -30,10 +30,16 @@ def mark_adjacent(df: DataFrame, adjacency: DataFrame | None, cid: str, nbr_cid:
     return joined.withColumn(name, F.col("_hit").isNotNull()).drop("_a", "_b", "_hit")
 
 
-def remove_drift(
+def remove_drift(df: DataFrame, adjacency: DataFrame | None = None, *, hot_rows: int | None = D.HOT_ROWS, **options) -> DataFrame:
+    """Stays without the drifting ones; options as in ``without_drift``."""
+    return per_key(df, USER, STAY_ORDER, lambda d, o: without_drift(d, o, adjacency=adjacency, **options), hot_rows)
+
+
+def without_drift(
     df: DataFrame,
-    adjacency: DataFrame | None = None,
+    o: Whole,
     *,
+    adjacency: DataFrame | None = None,
     gap_s: int = D.DRIFT_GAP_S,
     far_km: float = D.DRIFT_FAR_KM,
     max_speed: float = D.DRIFT_SPEED_MS,
@@ -44,23 +50,12 @@ def remove_drift(
     min_cells: int = D.DRIFT_CELLS,
     isolated_rule: bool = False,
     true_share: bool = False,
-    hot_rows: int | None = D.HOT_ROWS,
 ) -> DataFrame:
-    """Stays without the drifting ones, by segments of stays less than gap_s apart.
+    """Drop drifting stays from segments of stays less than gap_s apart.
 
     isolated_rule switches on the isolated-point rule, which never fires by default; true_share compares
     the real share of a cluster in its segment, which counts as 0 by default.
     """
-    options = dict(
-        adjacency=adjacency, gap_s=gap_s, far_km=far_km, max_speed=max_speed, point_ratio=point_ratio,
-        cluster_ratio=cluster_ratio, max_share=max_share, cluster_s=cluster_s, min_cells=min_cells,
-        isolated_rule=isolated_rule, true_share=true_share,
-    )
-    return per_key(df, USER, STAY_ORDER, lambda d, o: without_drift(d, o, **options), hot_rows)
-
-
-def without_drift(df: DataFrame, o: Whole, *, adjacency=None, gap_s, far_km, max_speed, point_ratio, cluster_ratio,
-                  max_share, cluster_s, min_cells, isolated_rule, true_share) -> DataFrame:
     x = segments(df, o, gap_s)
     if true_share:
         x = o.totals(x, ["seg_id"], sums={"_size": F.lit(1)})

@@ -150,15 +150,17 @@ def _aggregates(sums, mins, maxes):
     )
 
 
-def split_hot(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None):
+def split_hot(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None, probe: DataFrame | None = None):
     """(rows of ordinary keys, rows of hot keys with a slice number or None).
 
+    The keys are counted in probe, a frame that has at least the rows of df for every key and is cheaper to
+    read, or in df itself.
     There are at most rows / hot_rows hot keys, so the table of them stays small; it is broadcast only
     when counted below the limit. Slice numbers come from range partitioning and are fixed by a checkpoint.
     """
     if not hot_rows:
         return df, None
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = (df if probe is None else probe).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not n_hot:
         return df, None
@@ -180,9 +182,13 @@ def per_key(
     order: list[str],
     body: Callable[[DataFrame, Whole], DataFrame],
     hot_rows: int | None = HOT_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
-    """Run an ordered computation: ordinary keys whole, hot keys in slices."""
-    cold, hot = split_hot(df, keys, order, hot_rows)
+    """Run an ordered computation: ordinary keys whole, hot keys in slices.
+
+    body may chain any number of steps that keep to the keys and never add rows; the check is made once.
+    """
+    cold, hot = split_hot(df, keys, order, hot_rows, probe)
     out = body(cold, Whole(*keys))
     if hot is None:
         return out

@@ -20,14 +20,12 @@ def station_scores(df: DataFrame, gap_s: int = PINGPONG_GAP_S, hot_rows: int | N
     A group has no pause of gap_s or more. score = rows in the cell / mean distance to the rows of the
     other cells; infinite where that mean is 0, NULL where there is no other cell.
     """
-    def body(d, o):
-        x = o.settle(_grouped(d, o, gap_s))
-        return _scores(x.filter("_repeats"), o).withColumnRenamed("_group", "group_id").drop("_seen")
+    return per_key(df, USER, STAY_ORDER, lambda d, o: scored(d, o, gap_s), hot_rows)
 
-    return per_key(df, USER, STAY_ORDER, lambda d, o: _with_slice(body(d, o), o), hot_rows)
 
-
-def _with_slice(x: DataFrame, o: Whole) -> DataFrame:
+def scored(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S) -> DataFrame:
+    x = _scores(o.settle(_grouped(df, o, gap_s)).filter("_repeats"), o)
+    x = x.withColumnRenamed("_group", "group_id").drop("_seen")
     return x.withColumn("_slice", F.lit(0)) if o.sliced else x
 
 
@@ -74,7 +72,7 @@ def _scores(x: DataFrame, o: Whole) -> DataFrame:
     )
 
 
-def collapsed(df: DataFrame, o: Whole, gap_s: int, compat: bool) -> DataFrame:
+def collapsed(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S, compat: bool = True) -> DataFrame:
     x = _grouped(df, o, gap_s)
     if compat:
         x = o.totals(x, [], sums={"_rows": F.lit(1)}).filter("_rows > 1").drop("_rows")

@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def merge_regions(df: DataFrame, cut_s: int = REGION_GAP_S, lookahead: int = 2,
                   hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Regions and remaining stays: user, start_ts, end_ts, stay_s, is_region, cells[cid, lon, lat, n]."""
-    return per_key(df, USER, STAY_ORDER, lambda d, o: _regions(d, o, cut_s, lookahead), hot_rows)
+    return per_key(df, USER, STAY_ORDER, lambda d, o: looped(d, o, cut_s, lookahead), hot_rows)
 
 
 def region_cells(regions: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def region_lines(regions: DataFrame) -> DataFrame:
     )
 
 
-def _regions(df: DataFrame, o: Whole, cut_s: int, lookahead: int) -> DataFrame:
+def looped(df: DataFrame, o: Whole, cut_s: int = REGION_GAP_S, lookahead: int = 2) -> DataFrame:
     x = segments(df, o, cut_s)
     seg = o.within("seg_id")
     x = seg.running(x, STAY_ORDER, sums={"_pos": F.lit(1)})
@@ -76,7 +76,7 @@ def _assign(x: DataFrame, o: Whole) -> DataFrame:
     """Add _region: the position of the first stay of the region a stay belongs to, 0 if none."""
     schema = x.withColumn("_region", F.lit(0).cast("long")).schema
     if not o.sliced:
-        return x.groupBy(*o.keys, "seg_id").applyInPandas(_mark, schema)
+        return x.groupBy(*o.keys).applyInPandas(_mark, schema)
     # A segment may span slices: sum up each slice, follow the open region along the slices of a segment,
     # then mark each slice with the region that is open where it begins.
     part = [*o.keys, "seg_id", SLICE]
@@ -115,7 +115,8 @@ def _scan(pos, loop, reach, start: int, opened: int, owner=None, settled=None) -
 
 
 def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_pos", ignore_index=True)
+    """Segments follow one another: the last stay of each closes its region, because nothing lies ahead of it."""
+    pdf = pdf.sort_values(["seg_id", "_pos"], ignore_index=True)
     owner = np.zeros(len(pdf), dtype="int64")
     opened = int(pdf.pop("_open").iloc[0]) if "_open" in pdf else 0
     _scan(pdf["_pos"].tolist(), pdf["_loop"].tolist(), pdf["_reach"].tolist(), 0, opened, owner)

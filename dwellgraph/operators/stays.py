@@ -50,7 +50,7 @@ def stay_runs(df: DataFrame, max_gap_s: int = STAY_GAP_S, keep_last: bool = Fals
     return per_key(df, USER, RECORD_ORDER, lambda d, o: runs(d, o, max_gap_s, keep_last), hot_rows)
 
 
-def runs(df: DataFrame, o: Whole, max_gap_s: int, keep_last: bool) -> DataFrame:
+def runs(df: DataFrame, o: Whole, max_gap_s: int = STAY_GAP_S, keep_last: bool = False) -> DataFrame:
     x = o.neighbours(df, RECORD_ORDER, prev={"_cid": "cid", "_ts": "ts"})
     starts = F.col("_ts").isNull() | (F.col("cid") != F.col("_cid")) | (seconds_between("_ts", "ts") >= max_gap_s)
     x = o.running(x, RECORD_ORDER, sums={"_run": flag(starts)})
@@ -93,7 +93,7 @@ def merge_stays(df: DataFrame, max_gap_s: int = MERGE_GAP_S, exact_count: bool =
     return per_key(df, USER, STAY_ORDER, lambda d, o: merged(d, o, max_gap_s, exact_count, compat), hot_rows)
 
 
-def merged(df: DataFrame, o: Whole, max_gap_s: int, exact_count: bool, compat: bool) -> DataFrame:
+def merged(df: DataFrame, o: Whole, max_gap_s: int = MERGE_GAP_S, exact_count: bool = False, compat: bool = True) -> DataFrame:
     x = o.neighbours(df, STAY_ORDER, prev={"_cid": "cid", "_end": "end_ts"})
     starts = F.col("_end").isNull() | (F.col("cid") != F.col("_cid")) | (seconds_between("_end", "start_ts") > max_gap_s)
     x = o.running(x, STAY_ORDER, sums={"_run": flag(starts)})
@@ -120,7 +120,8 @@ def residence_points(df: DataFrame, max_km: float = RESIDENCE_KM, min_stay_s: in
     return per_key(df, USER, STAY_ORDER, lambda d, o: residences(d, o, max_km, min_stay_s, compat), hot_rows)
 
 
-def residences(df: DataFrame, o: Whole, max_km: float, min_stay_s: int, compat: bool) -> DataFrame:
+def residences(df: DataFrame, o: Whole, max_km: float = RESIDENCE_KM, min_stay_s: int = RESIDENCE_MIN_S,
+               compat: bool = True) -> DataFrame:
     x = o.neighbours(df, STAY_ORDER, prev={"_lon": "lon", "_lat": "lat"}, next={"_later": F.lit(1)})
     if compat:
         x = x.filter(F.col("_lon").isNotNull() | F.col("_later").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from ..operators.ordered import Whole, per_key
 from ..operators.pingpong import collapsed
 from ..operators.stays import RECORD_ORDER, USER, merged, more_than, runs
 
+Step = Callable[[DataFrame, Whole], DataFrame]
+
 
 @dataclass(frozen=True)
 class CleaningConfig:
@@ -48,11 +51,23 @@ def locate(cdr: DataFrame, users: DataFrame | None, alias: DataFrame | None, cel
     return locate_cells(cdr, cells).select("user", "ts", "cid", "lon", "lat")
 
 
-def clean_located(records: DataFrame, adjacency: DataFrame | None = None, cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
-    """Stay runs, drift removal, ping-pong collapse and merging, with the row gates between them.
+def user_steps(records: DataFrame, *steps: Step, hot_rows: int | None = D.HOT_ROWS, probe: DataFrame | None = None) -> DataFrame:
+    """Chain trajectory steps (frame, ordered) -> frame on located records.
 
-    All steps work inside a user, so ordinary users need one exchange for the whole chain.
+    All steps work inside a user, so ordinary users need one exchange for the whole chain, and hot users are
+    looked for once, in probe (the records before the lookups) if given.
     """
+    def chain(d: DataFrame, o: Whole) -> DataFrame:
+        for step in steps:
+            d = step(d, o)
+        return d
+
+    return per_key(records, USER, RECORD_ORDER, chain, hot_rows, probe)
+
+
+def clean_located(records: DataFrame, adjacency: DataFrame | None = None, cfg: CleaningConfig = CleaningConfig(),
+                  probe: DataFrame | None = None) -> DataFrame:
+    """Stay runs, drift removal, ping-pong collapse and merging, with the row gates between them."""
     def chain(d: DataFrame, o: Whole) -> DataFrame:
         d = more_than(d, o, cfg.min_records)
         d = more_than(runs(d, o, cfg.stay_gap_s, cfg.keep_last), o, cfg.min_runs)
@@ -65,10 +80,10 @@ def clean_located(records: DataFrame, adjacency: DataFrame | None = None, cfg: C
         d = merged(d, o, cfg.merge_gap_s, cfg.exact_count, cfg.compat)
         return more_than(d, o, cfg.min_merged)
 
-    return per_key(records, USER, RECORD_ORDER, chain, cfg.hot_rows)
+    return user_steps(records, chain, hot_rows=cfg.hot_rows, probe=probe)
 
 
 def clean_traces(cdr: DataFrame, users: DataFrame | None, alias: DataFrame | None, cells: DataFrame,
                  adjacency: DataFrame | None = None, cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
     """Raw records (user, ts, cid) to merged stays: user, cid, lon, lat, start_ts, end_ts, stay_s, n_records."""
-    return clean_located(locate(cdr, users, alias, cells), adjacency, cfg)
+    return clean_located(locate(cdr, users, alias, cells), adjacency, cfg, probe=cdr.select("user"))

@@ -38,7 +38,7 @@ CELLS = """cells AS (
   SELECT c::VARCHAR AS cid,
          110.3::DOUBLE + 0.015::DOUBLE * (c % 4) + (CASE WHEN c >= 8 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS lon,
          20.0::DOUBLE + 0.015::DOUBLE * ((c // 4) % 2) AS lat
-  FROM (SELECT DISTINCT cid::BIGINT % 12 AS c FROM raw))"""
+  FROM (SELECT n_nationkey::BIGINT AS c FROM nation))"""
 RECORDS = """rec AS (
   SELECT r."user", r.s, c.cid, c.lon, c.lat FROM raw r JOIN cells c ON c.cid = (r.cid::BIGINT % 12)::VARCHAR)"""
 BASE = [RAW, CELLS, RECORDS]
@@ -326,7 +326,7 @@ def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["cdr_lines"] = _with([RAW], 'SELECT "user", s, cid FROM raw WHERE cid::BIGINT % 2 = 0')
     q["user_lines"] = _with([RAW], 'SELECT DISTINCT "user" FROM raw')
-    q["alias_lines"] = _with([RAW], "SELECT DISTINCT cid, (cid::BIGINT % 12)::VARCHAR AS canon_cid FROM raw")
+    q["alias_lines"] = "SELECT n_nationkey::VARCHAR AS cid, (n_nationkey % 12)::VARCHAR AS canon_cid FROM nation"
     q["cell_lines"] = _with([STATIONS], "SELECT cid, 's' || cid AS name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM stations")
     q["adjacency_lines"] = """SELECT n.n_regionkey::VARCHAR AS cid, s.s_suppkey::VARCHAR AS nbr_cid FROM supplier s
 JOIN nation n ON n.n_nationkey = s.s_nationkey
@@ -338,7 +338,7 @@ JOIN (SELECT n_regionkey, max(n_nationkey) AS k FROM nation SEMI JOIN supplier O
 
     q["cdr_located"] = _with(BASE, 'SELECT "user", s, cid, round(lon, 6) AS lon, round(lat, 6) AS lat FROM rec')
     q["users_semi"] = _with([RAW], """SELECT "user", s, cid FROM raw
-WHERE "user" IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'purchase')""")
+WHERE "user" IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'error' AND value > 100)""")
     q["alias_join"] = _with([RAW], 'SELECT "user", s, (cid::BIGINT % 12)::VARCHAR AS cid FROM raw')
     q["min_rows"] = _with(BASE, f"""SELECT "user", s, cid, round(lon, 6) AS lon, round(lat, 6) AS lat FROM rec
 WHERE "user" IN (SELECT "user" FROM rec GROUP BY 1 HAVING count(*) > {T.MIN_RECORDS})""")
@@ -388,7 +388,7 @@ JOIN (SELECT "user", seg_id, unit, string_agg(cid, {tab} ORDER BY seen) AS c, st
     c = T.CLEANING
     q["clean_traces"] = _with(
         BASE + ["""listed_rec AS (
-  SELECT * FROM rec WHERE "user" IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'purchase'))""",
+  SELECT * FROM rec WHERE "user" IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'error' AND value > 100))""",
                 gate("listed_rec", "enough", c.min_records)]
         + _stays(src="enough", out="runs") + [gate("runs", "runs_1", c.min_runs)]
         + _drift(src="runs_1", adjacency=True) + [gate("calm", "calm_1", c.min_stays)]

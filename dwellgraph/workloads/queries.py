@@ -40,12 +40,29 @@ def _records(spark, d):
     return cleaning.locate(T.call_records(spark, d), None, T.cell_alias(spark, d), T.cells(spark, d))
 
 
+def _steps(spark, d, *steps):
+    """A chain of trajectory steps on the located records; hot users are looked for in the events themselves."""
+    return cleaning.user_steps(_records(spark, d), *steps, probe=T.call_records(spark, d).select("user"))
+
+
+def _run(df, o):
+    return stays.runs(df, o, T.STAY_GAP)
+
+
+def _merge(df, o):
+    return stays.merged(df, o, T.MERGE_GAP)
+
+
 def _stays(spark, d):
-    return stays.stay_runs(_records(spark, d), T.STAY_GAP)
+    return _steps(spark, d, _run)
 
 
 def _merged(spark, d):
-    return stays.merge_stays(_stays(spark, d), T.MERGE_GAP)
+    return _steps(spark, d, _run, _merge)
+
+
+def _calm(spark, d, **options):
+    return _steps(spark, d, _run, lambda x, o: drift.without_drift(x, o, **T.DRIFT, **options))
 
 
 # Sources: the parsers read lines that Spark renders from the tables.
@@ -133,7 +150,7 @@ def alias_join(spark, d):
 
 @query
 def min_rows(spark, d):
-    return _plain(stays.min_rows(_records(spark, d), T.MIN_RECORDS))
+    return _plain(_steps(spark, d, lambda x, o: stays.more_than(x, o, T.MIN_RECORDS)))
 
 
 @query
@@ -155,43 +172,43 @@ def stay_runs(spark, d):
 
 @query
 def stay_runs_keep_last(spark, d):
-    return _plain(stays.stay_runs(_records(spark, d), T.STAY_GAP, keep_last=True))
+    return _plain(_steps(spark, d, lambda x, o: stays.runs(x, o, T.STAY_GAP, keep_last=True)))
 
 
 @query
 def segments(spark, d):
-    return _plain(stays.segment(_stays(spark, d), T.DRIFT["gap_s"]))
+    return _plain(_steps(spark, d, _run, lambda x, o: stays.segments(x, o, T.DRIFT["gap_s"])))
 
 
 @query
 def drift_removed(spark, d):
-    return _plain(drift.remove_drift(_stays(spark, d), **T.DRIFT))
+    return _plain(_calm(spark, d))
 
 
 @query
 def drift_adjacent(spark, d):
-    return _plain(drift.remove_drift(_stays(spark, d), T.neighbours(spark, d), **T.DRIFT))
+    return _plain(_calm(spark, d, adjacency=T.neighbours(spark, d)))
 
 
 @query
 def drift_isolated_rule(spark, d):
-    return _plain(drift.remove_drift(_stays(spark, d), isolated_rule=True, point_ratio=0.9, **T.DRIFT))
+    return _plain(_calm(spark, d, isolated_rule=True, point_ratio=0.9))
 
 
 @query
 def drift_true_share(spark, d):
-    return _plain(drift.remove_drift(_stays(spark, d), true_share=True, **T.DRIFT))
+    return _plain(_calm(spark, d, true_share=True))
 
 
 @query
 def station_scores(spark, d):
-    s = pingpong.station_scores(_stays(spark, d), T.PINGPONG_GAP)
+    s = _steps(spark, d, _run, lambda x, o: pingpong.scored(x, o, T.PINGPONG_GAP))
     return s.select("user", "group_id", "cid", "freq", F.round("score", 6).alias("score"))
 
 
 @query
 def pingpong_collapsed(spark, d):
-    return _plain(pingpong.collapse_pingpong(_stays(spark, d), T.PINGPONG_GAP))
+    return _plain(_steps(spark, d, _run, lambda x, o: pingpong.collapsed(x, o, T.PINGPONG_GAP)))
 
 
 @query
@@ -201,16 +218,16 @@ def merge_stays(spark, d):
 
 @query
 def merge_stays_exact(spark, d):
-    return _plain(stays.merge_stays(_stays(spark, d), T.MERGE_GAP, exact_count=True))
+    return _plain(_steps(spark, d, _run, lambda x, o: stays.merged(x, o, T.MERGE_GAP, exact_count=True)))
 
 
 @query
 def residence_points(spark, d):
-    return _plain(stays.residence_points(_stays(spark, d)))
+    return _plain(_steps(spark, d, _run, stays.residences))
 
 
 def _regions(spark, d):
-    return regions.merge_regions(_merged(spark, d), T.REGION_GAP)
+    return _steps(spark, d, _run, _merge, lambda x, o: regions.looped(x, o, T.REGION_GAP))
 
 
 @query
@@ -241,7 +258,7 @@ def clean_traces(spark, d):
 
 @query
 def trajectory_lines(spark, d):
-    return sinks.stay_lines(stays.stay_runs(_records(spark, d), T.STAY_GAP))
+    return sinks.stay_lines(_stays(spark, d))
 
 
 # Graphs.

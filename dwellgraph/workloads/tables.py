@@ -35,18 +35,17 @@ def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw cell ids to the id of their place."""
-    return call_records(spark, sf_dir).select("cid").distinct().withColumn(
-        "canon_cid", (F.col("cid").cast("long") % 12).cast("string")
-    )
+    """Nation keys as raw cell ids, each with the id of its place."""
+    k = F.col("n_nationkey").cast("long")
+    return table(spark, sf_dir, "nation").select(k.cast("string").alias("cid"), (k % 12).cast("string").alias("canon_cid"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places 0-11 on a grid of about 1.6 km, 8-11 some 50 km east of it."""
-    c = F.col("canon_cid").cast("long")
+    """Nations as places: 0-7 on a grid of about 1.6 km, the others some 50 km east of it."""
+    c = F.col("n_nationkey").cast("long")
     far = F.when(c >= 8, F.lit(0.5)).otherwise(F.lit(0.0))
-    return cell_alias(spark, sf_dir).select("canon_cid").distinct().select(
-        F.col("canon_cid").alias("cid"), F.concat(F.lit("cell "), "canon_cid").alias("name"),
+    return table(spark, sf_dir, "nation").select(
+        c.cast("string").alias("cid"), F.col("n_name").alias("name"),
         (F.lit(110.3) + F.lit(0.015) * (c % 4) + far).alias("lon"),
         (F.lit(20.0) + F.lit(0.015) * (F.floor(c / 4) % 2)).alias("lat"),
     )
@@ -59,8 +58,8 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with a purchase among their events."""
-    return table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
+    """Users with an error event of a high value."""
+    return table(spark, sf_dir, "events").filter("event_type = 'error' AND value > 100").select(
         F.col("user_id").cast("string").alias("user")
     ).distinct()
 
