@@ -24,9 +24,14 @@ def station_scores(df: DataFrame, gap_s: int = PINGPONG_GAP_S, hot_rows: int | N
 
 
 def scored(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S) -> DataFrame:
-    x = _scores(o.settle(_grouped(df, o, gap_s)).filter("_repeats"), o)
-    x = x.withColumnRenamed("_group", "group_id").drop("_seen")
-    return x.withColumn("_slice", F.lit(0)) if o.sliced else x
+    x = _grouped(df, o, gap_s)
+    if o.sliced:
+        x = _scores(o.settle(x).filter("_repeats"), o).withColumnRenamed("_seen", "seen")
+        x = x.withColumn("_slice", F.lit(0))
+    else:
+        x = o.running(x, STAY_ORDER, sums={"_pos": F.lit(1)}).filter("_repeats")
+        x = _units(x, o).select(*o.keys, "_group", F.explode(_stations("_cells")).alias("_s")).select(*o.keys, "_group", "_s.*")
+    return x.withColumnRenamed("_group", "group_id").drop("seen")
 
 
 def collapse_pingpong(df: DataFrame, gap_s: int = PINGPONG_GAP_S, compat: bool = True,
@@ -72,25 +77,71 @@ def _scores(x: DataFrame, o: Whole) -> DataFrame:
     )
 
 
+def _units(x: DataFrame, o: Whole) -> DataFrame:
+    """One row for each group with a repeated cell (_unit 0) and for each other stay (_unit is its position).
+
+    _cells lists the distinct places of the unit with their number of rows, in order of first appearance.
+    """
+    unit = F.when(F.col("_repeats"), F.lit(0)).otherwise(F.col("_pos"))
+    places = x.groupBy(*o.keys, "_group", unit.alias("_unit"), "cid", "lon", "lat").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("_pos", "start_ts", "stay_s")).alias("_from"),
+        F.max(F.struct("_pos", "end_ts")).alias("_to"), *o.slice_columns(),
+    )
+    cell = F.struct(F.col("_from._pos").alias("pos"), "cid", "lon", "lat", "n")
+    return places.groupBy(*o.keys, "_group", "_unit").agg(
+        F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.array_sort(F.collect_list(cell)).alias("_cells"),
+        *o.slice_columns(),
+    )
+
+
+def _stations(cells: str):
+    """Scores of the cells of one group, from its distinct places."""
+    def total(array, value, zero):
+        return F.aggregate(array, zero, lambda acc, c: acc + value(c))
+
+    def station(s):
+        freq = total(F.filter(cells, lambda c: c["cid"] == s["cid"]), lambda c: c["n"], F.lit(0).cast("long"))
+        others = F.filter(cells, lambda c: c["cid"] != s["cid"])
+        km = total(others, lambda c: dist_km_raw(s["lon"], s["lat"], c["lon"], c["lat"]) * c["n"], F.lit(0.0))
+        mean = km / F.nullif(total(others, lambda c: c["n"], F.lit(0).cast("long")), F.lit(0))
+        score = F.when(mean == 0, F.lit(float("inf"))).otherwise(freq / F.nullif(mean, F.lit(0.0)))
+        return F.struct(score.alias("score"), s["pos"].alias("seen"), s["cid"].alias("cid"), s["lon"].alias("lon"),
+                        s["lat"].alias("lat"), freq.alias("freq"))
+
+    names = F.transform(cells, lambda c: c["cid"])
+    first = F.filter(cells, lambda c, i: F.array_position(names, c["cid"]) == i + 1)
+    return F.transform(first, station)
+
+
 def collapsed(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S, compat: bool = True) -> DataFrame:
     x = _grouped(df, o, gap_s)
     if compat:
         x = o.totals(x, [], sums={"_rows": F.lit(1)}).filter("_rows > 1").drop("_rows")
     x = o.settle(o.running(x, STAY_ORDER, sums={"_pos": F.lit(1)}))
     group = [*o.keys, "_group"]
-    best = _scores(x.filter("_repeats"), o).groupBy(*group).agg(
-        F.min(F.struct((-F.col("score")).alias("rank"), "_seen", "cid", "lon", "lat")).alias("_best")
-    )
-    unit = F.when(F.col("_repeats"), F.lit(0)).otherwise(F.col("_pos"))
-    out = x.groupBy(*group, unit.alias("_unit")).agg(
-        F.min(F.struct("_pos", "cid", "lon", "lat", "start_ts", "stay_s")).alias("_from"),
-        F.max(F.struct("_pos", "end_ts")).alias("_to"), *o.slice_columns(),
-    )
-    best = best.withColumn("_unit", F.lit(0).cast("long"))
-    out = out.join(best, [*group, "_unit"], "left").withColumns(
-        {c: F.coalesce(F.col(f"_best.{c}"), F.col(f"_from.{c}")) for c in ("cid", "lon", "lat")}
-        | {"start_ts": F.col("_from.start_ts"), "end_ts": F.col("_to.end_ts")}
-    )
-    whole = seconds_between("start_ts", "end_ts")
-    stay = F.when(F.col("_unit") == 0, whole).otherwise(F.col("_from.stay_s"))
+    rank = (-F.col("score")).alias("rank")
+    if o.sliced:
+        # A group may be of any size: its distinct cells are compared by a join.
+        best = _scores(x.filter("_repeats"), o).groupBy(*group).agg(F.min(F.struct(rank, "_seen", "cid", "lon", "lat")).alias("_best"))
+        unit = F.when(F.col("_repeats"), F.lit(0)).otherwise(F.col("_pos"))
+        out = x.groupBy(*group, unit.alias("_unit")).agg(
+            F.min(F.struct("_pos", "start_ts", "stay_s", "cid", "lon", "lat")).alias("_from"),
+            F.max(F.struct("_pos", "end_ts")).alias("_to"), *o.slice_columns(),
+        )
+        out = out.join(best.withColumn("_unit", F.lit(0).cast("long")), [*group, "_unit"], "left")
+        chosen = F.when(F.col("_best").isNull(), F.struct("_from.cid", "_from.lon", "_from.lat")).otherwise(
+            F.struct("_best.cid", "_best.lon", "_best.lat"))
+    else:
+        out = _units(x, o)
+        ranked = F.transform(_stations("_cells"), lambda s: F.struct(
+            (-s["score"]).alias("rank"), s["seen"].alias("seen"), s["cid"].alias("cid"), s["lon"].alias("lon"), s["lat"].alias("lat")))
+        best = F.array_min(ranked)
+        only = F.col("_cells")[0]
+        chosen = F.when(F.col("_unit") == 0, F.struct(best["cid"].alias("cid"), best["lon"].alias("lon"), best["lat"].alias("lat"))).otherwise(
+            F.struct(only["cid"].alias("cid"), only["lon"].alias("lon"), only["lat"].alias("lat")))
+    out = out.withColumn("_chosen", chosen).withColumns({
+        "cid": F.col("_chosen.cid"), "lon": F.col("_chosen.lon"), "lat": F.col("_chosen.lat"),
+        "start_ts": F.col("_from.start_ts"), "end_ts": F.col("_to.end_ts"),
+    })
+    stay = F.when(F.col("_unit") == 0, seconds_between("start_ts", "end_ts")).otherwise(F.col("_from.stay_s"))
     return out.withColumn("stay_s", stay).select(*STAY_COLUMNS, *slice_of(out, o))

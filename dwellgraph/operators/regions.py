@@ -13,6 +13,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
@@ -66,19 +67,18 @@ def looped(df: DataFrame, o: Whole, cut_s: int = REGION_GAP_S, lookahead: int =
         "_loop": F.coalesce(F.col("_a2.cid") == F.col("cid"), F.lit(False)),
         "_reach": F.greatest(F.lit(0).cast("long"), *reaches),
     }).drop("_prev", *names)
-    x = o.settle(o.totals(x, ["seg_id"], maxes={"_any": "_loop"}))
-    plain = x.filter(~F.col("_any")).withColumn("_region", F.lit(0).cast("long"))
-    loops = _assign(x.filter("_any"), o)
-    return _collect(plain.unionByName(loops), o)
+    return _collect(_assign(x, o), o)
 
 
 def _assign(x: DataFrame, o: Whole) -> DataFrame:
     """Add _region: the position of the first stay of the region a stay belongs to, 0 if none."""
     schema = x.withColumn("_region", F.lit(0).cast("long")).schema
     if not o.sliced:
-        return x.groupBy(*o.keys).applyInPandas(_mark, schema)
+        # The windows just before leave every segment together and in order, so a streaming pass is enough.
+        return x.mapInArrow(_mark_ordered, schema)
     # A segment may span slices: sum up each slice, follow the open region along the slices of a segment,
     # then mark each slice with the region that is open where it begins.
+    x = o.settle(x)
     part = [*o.keys, "seg_id", SLICE]
     fields = {f.name: f.dataType.simpleString() for f in x.select(*part).schema}
     head = ", ".join(f"{n} {t}" for n, t in fields.items())
@@ -114,11 +114,29 @@ def _scan(pos, loop, reach, start: int, opened: int, owner=None, settled=None) -
     return int(opened)
 
 
+def _mark_ordered(batches):
+    """Mark stays that arrive segment by segment in order.
+
+    The last stay of a segment closes its region, because nothing lies ahead of it.
+    """
+    opened, last = 0, 0
+    for batch in batches:
+        pos = batch.column("_pos").to_numpy()
+        before = np.concatenate(([last], pos[:-1]))
+        if not np.all((pos == 1) | (pos == before + 1)):
+            raise ValueError("the stays of a segment must arrive together and in order")
+        owner = np.zeros(len(pos), dtype="int64")
+        loop = batch.column("_loop").to_numpy(zero_copy_only=False)
+        if opened or loop.any():
+            opened = _scan(pos.tolist(), loop.tolist(), batch.column("_reach").to_pylist(), 0, opened, owner)
+        last = pos[-1] if len(pos) else last
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(owner)], names=[*batch.schema.names, "_region"])
+
+
 def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Segments follow one another: the last stay of each closes its region, because nothing lies ahead of it."""
-    pdf = pdf.sort_values(["seg_id", "_pos"], ignore_index=True)
+    pdf = pdf.sort_values("_pos", ignore_index=True)
     owner = np.zeros(len(pdf), dtype="int64")
-    opened = int(pdf.pop("_open").iloc[0]) if "_open" in pdf else 0
+    opened = int(pdf.pop("_open").iloc[0])
     _scan(pdf["_pos"].tolist(), pdf["_loop"].tolist(), pdf["_reach"].tolist(), 0, opened, owner)
     pdf["_region"] = owner
     return pdf
