@@ -56,12 +56,15 @@ def without_drift(
     isolated_rule switches on the isolated-point rule, which never fires by default; true_share compares
     the real share of a cluster in its segment, which counts as 0 by default.
     """
-    x = segments(df, o, gap_s)
+    x = o.running(segments(df, o, gap_s), STAY_ORDER, sums={"_pos": F.lit(1)})
+    # Equal stays keep their order across a join only by position.
+    order = STAY_ORDER if adjacency is None else ["_pos"]
     if true_share:
+        order = ["_pos"]
         x = o.totals(x, ["seg_id"], sums={"_size": F.lit(1)})
     here = F.struct("cid", "lon", "lat", "start_ts", "end_ts", "seg_id")
-    x = o.neighbours(x, STAY_ORDER, prev={"_p": "seg_id"}, next={"_n": here})
-    x = o.neighbours(x, STAY_ORDER, prev={"_pp": "_p"}, next={"_nn": "_n"})
+    x = o.neighbours(x, order, prev={"_p": "seg_id"}, next={"_n": here})
+    x = o.neighbours(x, order, prev={"_pp": "_p"}, next={"_nn": "_n"})
 
     def inside(seg: str):
         return F.coalesce(F.col(seg) == F.col("seg_id"), F.lit(False))
@@ -77,20 +80,19 @@ def without_drift(
     x = mark_adjacent(x.withColumn("_n_cid", F.col("_n.cid")), adjacency, "_n_cid", "cid", "_adjacent")
     x = x.withColumn("_move", _move(far_km, max_speed, point_ratio, cluster_ratio, isolated_rule))
     size = ["_size"] if true_share else []
-    x = x.select("_has_p", "_long", "_move", "seg_id", *size, *STAY_COLUMNS, *slice_of(x, o))
+    x = x.select("_pos", "_has_p", "_long", "_move", "seg_id", *size, *STAY_COLUMNS, *slice_of(x, o))
 
-    x = o.neighbours(x, STAY_ORDER, prev={"_before": "_move"})
-    x = o.running(x, STAY_ORDER, sums={"_pos": F.lit(1)})
+    x = o.neighbours(x, order, prev={"_before": "_move"})
     fresh = ~F.col("_has_p") | (F.col("_before") == "go")
-    x = o.running(x, STAY_ORDER, maxes={"_anchor": F.when(fresh, F.col("_pos"))})
+    x = o.running(x, order, maxes={"_anchor": F.when(fresh, F.col("_pos"))})
     x = x.withColumn("_visited", (F.col("_pos") - F.col("_anchor")) % 2 == 0)
     closes = flag(F.col("_visited") & F.col("_move").isin("cut", "skip"))
-    x = o.running(x.withColumn("_closes", closes), STAY_ORDER, sums={"_cluster": F.col("_closes")})
+    x = o.running(x.withColumn("_closes", closes), order, sums={"_cluster": F.col("_closes")})
     x = x.withColumn("_cluster", F.col("_cluster") - F.col("_closes"))
     x = x.filter(F.col("_visited") | (F.col("_before") == "cut"))
 
     cluster = ["seg_id", "_cluster"]
-    x = o.within(*cluster, "cid").neighbours(x, STAY_ORDER, prev={"_seen": F.lit(1)})
+    x = o.within(*cluster, "cid").neighbours(x, order, prev={"_seen": F.lit(1)})
     x = o.totals(
         x, cluster,
         mins={"_from": F.struct("_pos", "start_ts")}, maxes={"_to": F.struct("_pos", "end_ts")},

@@ -18,6 +18,8 @@ from ..defaults import BROADCAST_ROWS, HOT_ROWS
 from ..session import cut
 
 SLICE = "_slice"
+# Tells rows of a hot key apart that are equal in all order columns, so that every step sees them in one order.
+ROW = "_row"
 
 
 class Whole:
@@ -80,7 +82,7 @@ class Sliced(Whole):
 
     def neighbours(self, df, order, prev=None, next=None):
         prev, next = prev or {}, next or {}
-        df = self.settle(df)
+        df, order = self.settle(df), _total(df, order)
         position = F.struct(*order)
         edge = [F.max_by(F.struct(F.lit(1).alias("_on"), *[_as(c, n) for n, c in prev.items()]), position).alias("_carry_last"),
                 F.min_by(F.struct(F.lit(1).alias("_on"), *[_as(c, n) for n, c in next.items()]), position).alias("_carry_first")]
@@ -103,7 +105,7 @@ class Sliced(Whole):
 
     def running(self, df, order, sums=None, maxes=None):
         sums, maxes = sums or {}, maxes or {}
-        df = self.settle(df)
+        df, order = self.settle(df), _total(df, order)
         earlier = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         parts = [F.sum(c).alias(f"_c_{n}") for n, c in sums.items()]
         parts += [F.max(c).alias(f"_c_{n}") for n, c in maxes.items()]
@@ -138,6 +140,10 @@ class Sliced(Whole):
         )
 
 
+def _total(df: DataFrame, order: list[str]) -> list[str]:
+    return [*order, ROW] if ROW in df.columns else order
+
+
 def _as(c, name: str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).alias(name)
 
@@ -171,7 +177,7 @@ def split_hot(df: DataFrame, keys: list[str], order: list[str], hot_rows: int |
     rows = (
         df.join(hot, keys, "left_semi")
         .repartitionByRange(slices, *keys, *order)
-        .withColumn(SLICE, F.spark_partition_id())
+        .withColumns({SLICE: F.spark_partition_id(), ROW: F.monotonically_increasing_id()})
     )
     return df.join(hot, keys, "left_anti"), cut(rows)
 
@@ -192,4 +198,4 @@ def per_key(
     out = body(cold, Whole(*keys))
     if hot is None:
         return out
-    return out.unionByName(body(hot, Sliced(*keys)).drop(SLICE))
+    return out.unionByName(body(hot, Sliced(*keys)).drop(SLICE, ROW))

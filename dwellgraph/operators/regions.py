@@ -57,11 +57,11 @@ def looped(df: DataFrame, o: Whole, cut_s: int = REGION_GAP_S, lookahead: int =
     x = segments(df, o, cut_s)
     seg = o.within("seg_id")
     x = seg.running(x, STAY_ORDER, sums={"_pos": F.lit(1)})
-    x = o.within("seg_id", *CELL).neighbours(x, STAY_ORDER, prev={"_prev": "_pos"})
+    x = o.within("seg_id", *CELL).neighbours(x, ["_pos"], prev={"_prev": "_pos"})
     ahead = F.struct("cid", F.coalesce("_prev", F.lit(0)).alias("prev"))
     names = [f"_a{i}" for i in range(1, max(lookahead, 2) + 1)]
     for i, name in enumerate(names):
-        x = seg.neighbours(x, STAY_ORDER, next={name: ahead if i == 0 else names[i - 1]})
+        x = seg.neighbours(x, ["_pos"], next={name: ahead if i == 0 else names[i - 1]})
     reaches = [F.when(F.col(f"{a}.prev") <= F.col("_pos"), F.col(f"{a}.prev")) for a in names[:lookahead]]
     x = x.withColumns({
         "_loop": F.coalesce(F.col("_a2.cid") == F.col("cid"), F.lit(False)),

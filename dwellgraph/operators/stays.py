@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..defaults import HOT_ROWS, MERGE_GAP_S, RESIDENCE_KM, RESIDENCE_MIN_S, STAY_GAP_S
 from ..functions.clock import seconds_between
 from ..functions.geo import dist_km_raw
-from .ordered import Whole, per_key
+from .ordered import ROW, SLICE, Whole, per_key
 
 USER = ["user"]
 RECORD_ORDER = ["ts", "cid", "lon", "lat"]
@@ -69,7 +69,8 @@ def _stays(x: DataFrame, o: Whole, *more: str) -> DataFrame:
 
 
 def slice_of(x: DataFrame, o: Whole) -> list[str]:
-    return ["_slice"] if o.sliced else []
+    """Columns that later steps on slices need."""
+    return [c for c in (SLICE, ROW) if o.sliced and c in x.columns]
 
 
 def segment(df: DataFrame, gap_s: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -127,12 +128,12 @@ def residences(df: DataFrame, o: Whole, max_km: float = RESIDENCE_KM, min_stay_s
         x = x.filter(F.col("_lon").isNotNull() | F.col("_later").isNotNull())
     near = F.coalesce(dist_km_raw("lon", "lat", "_lon", "_lat") < max_km, F.lit(False))
     x = x.withColumn("_first", ~near)
-    x = o.running(x, STAY_ORDER, sums={"_run": flag(F.col("_first"))})
+    x = o.running(x, STAY_ORDER, sums={"_run": flag(F.col("_first")), "_pos": F.lit(1)})
     x = o.totals(
         x, ["_run"],
         mins={"_from": F.struct("start_ts", "end_ts")}, maxes={"_to": F.struct("start_ts", "end_ts")},
     )
     x = x.withColumn("_long", seconds_between("_from.start_ts", "_to.end_ts") > min_stay_s)
-    x = o.running(x, STAY_ORDER, sums={"_label": flag(F.col("_first") & F.col("_long"))})
+    x = o.running(x, ["_pos"], sums={"_label": flag(F.col("_first") & F.col("_long"))})
     label = F.when(F.col("_long"), F.col("_label")).otherwise(F.lit(-1)).cast("int")
     return x.withColumn("residence_id", label).select(*STAY_COLUMNS, "residence_id", *slice_of(x, o))
