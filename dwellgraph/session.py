@@ -49,3 +49,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialize on shared storage, so that neither plan nor recovery goes further back."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_partitioned(df: DataFrame, *by: str) -> DataFrame:
+    """Materialize partitioned and sorted by columns, in a way that later joins on them know and use.
+
+    df should be materialized already. A checkpoint keeps the partitioning of its plan only if that plan is not an adaptive one, so the last
+    step, a plain shuffle, is planned without adaptive execution.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(parts, *by).sortWithinPartitions(*by)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return placed.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
