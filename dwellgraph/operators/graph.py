@@ -228,7 +228,7 @@ def _mutual_of_loops(g: DataFrame) -> DataFrame:
 def step_probabilities(steps: DataFrame, g: DataFrame, transitions: DataFrame) -> DataFrame:
     """Second-order probability of given steps (src, dst, nbr)."""
     edge = graph_key(g, "src", "dst")
-    weights = g.withColumnsRenamed({"src": "dst", "dst": "nbr", "weight": "_w"})
+    weights = g.select(*graph_key(g), F.col("src").alias("dst"), F.col("dst").alias("nbr"), F.col("weight").alias("_w"))
     named = transitions.filter("nbr IS NOT NULL").withColumnRenamed("prob", "_named")
     unit = transitions.filter("nbr IS NULL").select(*edge, F.col("prob").alias("_unit"))
     return (

@@ -128,6 +128,9 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_responses(spark: SparkSession, path: str, key: str = "location_key") -> DataFrame:
-    """Stored JSON responses, one document per file, keyed by the file name without its extension."""
+    """Stored JSON responses, one document per file, keyed by the file name without its extension.
+
+    Spark gives file names percent-encoded, so they are decoded.
+    """
     name = F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "")
     return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias(key), "value")

@@ -61,7 +61,7 @@ def test_responses(spark, tmp_path):
                       "poiRegions": [{"uid": "u2", **poi, "name": "other"}, {"uid": "u3", **poi}]}}
     folder = tmp_path / "near"
     folder.mkdir()
-    (folder / "20.5%2C110.1.json").write_text(json.dumps(doc, indent=1))
+    (folder / "20.5,110.1.json").write_text(json.dumps(doc, indent=1))
     out = P.flatten_nearby(L.read_responses(spark, str(folder)))
     rows = [(r.location_key, r.uid, r.name, r.source) for r in out.collect()]
     assert rows == [("20.5,110.1", "u1", "n", "poi"), ("20.5,110.1", "u2", "n", "poi"), ("20.5,110.1", "u3", "n", "region")]
@@ -89,7 +89,7 @@ def test_radius_search_against_all_pairs(spark):
     rnd = random.Random(8)
 
     def points(n):
-        return [(str(i), rnd.choice([179.999, -179.999, 10.0]) + rnd.uniform(-0.004, 0.004), rnd.choice([0.0, 65.0, -33.0]) + rnd.uniform(-0.004, 0.004))
+        return [(str(i), (rnd.choice([0.001, 359.999, 190.0]) + rnd.uniform(-0.004, 0.004)) % 360 - 180, rnd.choice([0.0, 65.0, -33.0]) + rnd.uniform(-0.004, 0.004))
                 for i in range(n)]
 
     a, b = points(60), points(200)
@@ -108,7 +108,7 @@ def test_radius_search_against_all_pairs(spark):
 
 
 def test_meetings_against_all_pairs(spark):
-    rows = random_stays(6, users=4, n=40, pause=(0, 3000))
+    rows = random_stays(6, users=4, n=40, cells=2, pause=(0, 60))
     df = spark.createDataFrame([r[:7] for r in rows], STAY)
     want = {}
     for x in rows:
