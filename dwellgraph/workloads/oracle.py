@@ -255,25 +255,34 @@ def _u(purpose: str, seed: int) -> str:
 
 def _walks(num: int, length: int, p: float = 1.0, q: float = 1.0, seed: int = 7) -> str:
     """Over graphs gs(graph, src, dst, weight)."""
-    limit = max(1 / p, 1.0, 1 / q)
-    keep = "true"
+    limit = max(1.0, 1 / q)
+    keep, ret = "true", "false"
     if p != 1 or q != 1:
-        keep = (f"(d.prev IS NULL OR d.u2 * {limit}::DOUBLE < CASE WHEN d.next = d.prev THEN {1 / p}::DOUBLE "
+        keep = (f"(d.prev IS NULL OR d.ret OR d.u2 * {limit}::DOUBLE < CASE WHEN d.next = d.prev THEN {min(1 / p, limit)}::DOUBLE "
                 f"WHEN k.src IS NOT NULL THEN 1.0::DOUBLE ELSE {1 / q}::DOUBLE END)")
+        if 1 / p > limit:
+            extra = f"(w.back * {1 / p - limit}::DOUBLE)"
+            ret = f"(w.prev IS NOT NULL AND w.u3 * ({limit}::DOUBLE + {extra}) < {extra})"
     return f"""
 n1 AS (SELECT *, sum(weight) OVER (PARTITION BY graph, src ORDER BY dst ROWS UNBOUNDED PRECEDING) AS cum,
        sum(weight) OVER (PARTITION BY graph, src) AS total,
        row_number() OVER (PARTITION BY graph, src ORDER BY dst DESC) AS from_last FROM gs),
-n2 AS (SELECT graph, src, dst, CASE WHEN from_last = 1 THEN 1.0::DOUBLE ELSE round(cum / total, 12) END AS hi FROM n1),
-nb AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY graph, src ORDER BY dst), 0.0) AS lo FROM n2),
+n2 AS (SELECT graph, src, dst, weight / total AS share, CASE WHEN from_last = 1 THEN 1.0::DOUBLE ELSE round(cum / total, 12) END AS hi FROM n1),
+n3 AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY graph, src ORDER BY dst), 0.0) AS lo FROM n2),
+nb AS (SELECT n3.*, coalesce(r.share, 0.0) AS back FROM n3 LEFT JOIN n2 r ON r.graph = n3.graph AND r.src = n3.dst AND r.dst = n3.src),
 ends AS (SELECT DISTINCT graph, unnest([src, dst]) AS start FROM gs),
 w AS (
-  SELECT graph, start, r.walk, 1 AS step, 0 AS try, NULL::BIGINT AS prev, start AS cur, true AS moved
+  SELECT graph, start, r.walk, 1 AS step, 0 AS try, NULL::BIGINT AS prev, start AS cur, true AS moved,
+         0.0::DOUBLE AS there, 0.0::DOUBLE AS back
   FROM ends, (SELECT unnest(range({num})) AS walk) r
   UNION ALL
   SELECT d.graph, d.start, d.walk, CASE WHEN {keep} THEN d.step + 1 ELSE d.step END, CASE WHEN {keep} THEN 0 ELSE d.try + 1 END,
-         CASE WHEN {keep} THEN d.cur ELSE d.prev END, CASE WHEN {keep} THEN d.next ELSE d.cur END, {keep}
-  FROM (SELECT w.*, nb.dst AS next, w.u2 FROM (SELECT w.*, {_u('move', seed)} AS u, {_u('keep', seed)} AS u2 FROM w WHERE w.step < {length}) w
+         CASE WHEN {keep} THEN d.cur ELSE d.prev END,
+         CASE WHEN d.ret THEN d.prev WHEN {keep} THEN d.next ELSE d.cur END, {keep},
+         CASE WHEN d.ret THEN d.back WHEN {keep} THEN d.next_share ELSE d.there END,
+         CASE WHEN d.ret THEN d.there WHEN {keep} THEN d.next_back ELSE d.back END
+  FROM (SELECT w.*, nb.dst AS next, nb.share AS next_share, nb.back AS next_back, {ret} AS ret
+        FROM (SELECT w.*, {_u('move', seed)} AS u, {_u('keep', seed)} AS u2, {_u('back', seed)} AS u3 FROM w WHERE w.step < {length}) w
         JOIN nb ON nb.graph = w.graph AND nb.src = w.cur AND nb.lo <= w.u AND w.u < nb.hi) d
   LEFT JOIN gs k ON k.graph = d.graph AND k.src = d.next AND k.dst = d.prev)
 SELECT graph, start, walk, string_agg(cur::VARCHAR, ' ' ORDER BY step) AS path FROM w WHERE moved GROUP BY graph, start, walk"""
