@@ -8,7 +8,7 @@ from ..defaults import HOT_ROWS, PINGPONG_GAP_S
 from ..functions.clock import seconds_between
 from ..functions.geo import dist_km_raw
 from .ordered import Whole, per_key
-from .stays import STAY_COLUMNS, STAY_ORDER, USER, flag, segments, slice_of
+from .stays import STAY_COLUMNS, STAY_ORDER, USER, segments, slice_of
 
 # Distinct cells of one group that are compared within one task.
 CELLS_PER_TASK = 512
