@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,20 @@ def cut_partitioned(df: DataFrame, *by: str) -> DataFrame:
         return placed.checkpoint(eager=True)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for a session's context, for clusters where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_dwellgraph_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    staged = os.path.join(tempfile.mkdtemp(prefix="dwellgraph-"), "dwellgraph.zip")  # the driver's copy, from which Spark serves it
+    with zipfile.ZipFile(staged, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("dwellgraph", os.path.relpath(path, package)))
+    context.addPyFile(staged)
+    context._dwellgraph_shipped = True
