@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bytebpe, records
+from ..session import ship
+from . import bytebpe, langid, records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = shipped
+    return shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +33,17 @@ def _hex(data: Column | str) -> Column:
     return F.sha2(data, 256)
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = langid.remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, labels.filter(~held))
+    return toxicity.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to record files and read back."""
@@ -33,6 +51,15 @@ def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(written).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = langid.remainder(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.filter(~held), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
