@@ -89,7 +89,7 @@ def ngram_hashes(words: np.ndarray, n: int, gap: int = 1) -> np.ndarray:
     count = len(words) - (n - 1) * gap
     if count <= 0:
         return np.zeros(0, dtype=U64)
-    out = np.full(count, U64(0x51ED270B27B4F3CF) * U64(n) + U64(gap), dtype=U64)
+    out = np.full(count, (0x51ED270B27B4F3CF * n + gap) % (1 << 64), dtype=U64)
     for k in range(n):
         out = mix(out * U64(0x9E3779B97F4A7C15) + words[k * gap : k * gap + count])
     return out
