@@ -1,7 +1,37 @@
-"""SQL for the queries of this subpackage that SQL can express."""
+"""SQL for the queries of this subpackage that SQL can express. Constants are stated here again, not imported."""
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH parts AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+    coalesce(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '') AS query
+  FROM pages
+), named AS (
+  SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)=')), '&') AS kept FROM parts
+), canon AS (
+  SELECT page_id, host, path,
+    CASE WHEN regexp_replace(host, '^(www|m)\.', '') <> '' THEN
+      regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical
+  FROM named
+), listing AS (
+  SELECT DISTINCT canonical FROM canon WHERE canonical IS NOT NULL AND regexp_matches(host, '(^|[.-])(spam|cheap|pills|casino|farm)[.-]')
+), ruled AS (
+  SELECT *, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM listing) AS listed,
+    CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM canon
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
+  canonical, listed
+FROM ruled
+"""
+
 
 def build() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2}

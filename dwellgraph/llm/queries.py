@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bytebpe, langid, minhash, records, toxicity
+from . import bytebpe, langid, minhash, records, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,20 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# Rules of the URL query, and what makes a host one whose pages are listed.
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+LISTED_HOSTS = "(^|[.-])(spam|cheap|pills|casino|farm)[.-]"
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the url of every page; the listed URLs are those of hosts with a spam word in their name."""
+    pages = table(spark, sf_dir, "pages")
+    url = F.col("url")
+    listed = pages.filter(urlfilter.host_of(url).rlike(LISTED_HOSTS)).select(urlfilter.canonical(url).alias("canonical"))
+    return urlfilter.judge(pages, listed, RULES)
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model of the labels that are not held out."""
