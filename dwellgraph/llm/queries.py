@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bytebpe, decontam, langid, minhash, records, toxicity, urlfilter
+from . import bytebpe, decontam, langid, minhash, records, sanitize, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         _hex(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_sha256"), _hex("decoded").alias("decoded_sha256"),
     )
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and the terms that give them away."""
+    found = sanitize.spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == sanitize.KINDS.index(kind))).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        _hex(sanitize.span_text(F.col("base")).cast("binary")).alias("base_sha256"), sanitize.span_text(F.array_sort(F.concat("base", "terms"))).alias("spans"),
+    )
