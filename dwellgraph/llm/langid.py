@@ -182,6 +182,10 @@ def train(labelled: DataFrame, path: str, lang: str = "lang", key: str = "doc_id
     spark = labelled.sparkSession
     rows = labelled.select(labelled[lang].cast("string").alias("lang"), labelled[text].alias("text"), F.xxhash64(labelled[key]).alias("h"))
     rows = rows.filter("lang is not null and text is not null")
+    # Only about twice as many rows as needed go on to the ranking: those with the smallest hashes, by a share from the counts.
+    sizes = labelled.filter(labelled[lang].isNotNull()).groupBy(labelled[lang].cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("total"))
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    rows = rows.join(F.broadcast(sizes), "lang").filter(share * F.col("total") < 2 * per_language + 50)  # broadcast: a row a language
     order = Window.partitionBy("lang").orderBy("h", "text")
     sample = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "text")
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bytebpe, decontam, langid, minhash, records, sanitize, toxicity, urlfilter
+from . import bytebpe, decontam, imatch, langid, minhash, records, sanitize, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text, and how alike they are."""
+    docs = table(spark, sf_dir, "documents")
+    return imatch.compared(docs, imatch.lexicon(docs))
+
+
 @query
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to record files and read back."""

@@ -79,10 +79,11 @@ def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: in
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from the labelled rows as given: hold rows out before. At most `sample` of them are used."""
-    chosen = (
-        labels.select(labels[key].alias("key"), labels[label].cast("int").alias("y")).dropna().groupBy("key").agg(F.max("y").alias("y"))
-        .withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(sample)
-    )
+    labelled = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("y")).dropna()
+    # About twice as many labels as needed go on to the sort: those with the smallest hashes, by a share from their count.
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    few = labelled.withColumn("h", F.xxhash64("key")).filter(share * labelled.count() < 2 * sample + 100)
+    chosen = few.groupBy("key", "h").agg(F.max("y").alias("y")).orderBy("h", "key").limit(sample)
     # F.broadcast: at most `sample` rows of three numbers.
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(chosen), "key").select("h", "y", "text")
 
