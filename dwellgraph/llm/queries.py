@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bytebpe, decontam, imatch, langid, minhash, records, sanitize, toxicity, urlfilter
+from . import bytebpe, decontam, htmlcrf, imatch, langid, minhash, records, sanitize, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,6 +104,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return htmlcrf.extract(pages, htmlcrf.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans, and the terms that give them away."""
