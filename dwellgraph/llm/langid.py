@@ -229,6 +229,19 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return out.select(F.col("_key").alias(key), *[F.col(a).alias(b) for a, b in zip(kept, keep)], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def recognised(docs: DataFrame, model: Model, text: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language with at least this posterior."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                names, scores = shared.value.predict(texts_of(part, text))
+                yield part.filter(pa.array((np.array(names) != UNDETERMINED) & (scores >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(key: Column, of: int) -> Column:
     """crc32 of a key as text, modulo `of`; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % of
