@@ -69,8 +69,7 @@ def test_adjacency_and_first_order_of_a_hub(spark):
     assert max(len(r.nbrs) for r in sliced.collect()) == 25
     first = G.node_transitions(g, hot_rows=20)
     assert all(abs(r.s - 1) < 1e-12 for r in first.groupBy("src").agg(F.sum("prob").alias("s")).collect())
-    assert W.sampling_table(g.withColumn("graph", F.lit(0)), 20).exceptAll(
-        W.sampling_table(g.withColumn("graph", F.lit(0)), None)).isEmpty()
+    assert W.intervals(g.withColumn("graph", F.lit(0)), 20).exceptAll(W.intervals(g.withColumn("graph", F.lit(0)), None)).isEmpty()
 
 
 def test_quantiles(spark):
@@ -114,6 +113,41 @@ def test_step_frequencies(spark):
         assert abs(r["count"] / total - want[r.n] / 7.25) < 0.04
 
 
+def test_every_edge_has_an_interval(spark):
+    g = edges(spark, [(0, 1, 1e14), (0, 2, 1), (0, 3, 1e-9), (4, 5, 2)]).withColumn("graph", F.lit(0))
+    x = {(r.src, r.dst): r for r in W.intervals(g).collect()}
+    assert set(x) == {(0, 1), (0, 2), (0, 3), (4, 5)} and x[0, 2].lo < x[0, 2].hi
+    bins = W.sampling_table(W.intervals(g), W._bins(g)).select("src", "dst").distinct()
+    assert bins.count() == 4
+
+
+@pytest.mark.parametrize("p,q", [(0.01, 100.0), (100.0, 0.01), (100.0, 100.0), (0.01, 0.01)])
+def test_rounds_are_bounded(spark, monkeypatch, p, q):
+    star = [(0, i, 1) for i in range(1, 6)]
+    clique = [(100 + i, 100 + j, 1) for i in range(6) for j in range(i)]
+    g = G.build_graph(edges(spark, star + clique))
+    cuts = []
+    monkeypatch.setattr(W, "_walked", lambda *a, f=W._walked: (cuts.clear(), f(*a))[1])
+    monkeypatch.setattr(W, "cut", lambda df, f=W.cut: (cuts.append(1), f(df))[1])
+    w = W.random_walks(g, num_walks=1, walk_length=7, p=p, q=q, seed=2).collect()
+    assert all(len(r.path) == 7 for r in w) and len(cuts) <= 2 * 7 + 10  # a loop and an exact draw for each step at most
+
+
+def test_exact_draw_frequencies(spark):
+    """The same step by rejection and, with p and q that reject nearly all, by races."""
+    g = G.build_graph(edges(spark, [(0, 1, 1), (0, 2, 2), (0, 3, 5), (1, 2, 1)]))
+    w = W.random_walks(g, num_walks=4000, walk_length=3, p=50.0, q=0.02, seed=3).filter("start = 1 and path[1] = 2")
+    third = {r.n: r["count"] for r in w.groupBy(F.element_at("path", 3).alias("n")).count().collect()}
+    total = sum(third.values())
+    # At 2 after 1: back to 1 with weight 1/50, on to 0 (a neighbour of 1) with weight 2.
+    assert abs(third.get(1, 0) / total - 0.02 / 2.02) < 0.02
+    w = W.random_walks(g, num_walks=4000, walk_length=3, p=50.0, q=20.0, seed=4).filter("start = 1 and path[1] = 0")
+    third = {r.n: r["count"] for r in w.groupBy(F.element_at("path", 3).alias("n")).count().collect()}
+    total = sum(third.values())
+    want = {1: 0.02, 2: 2.0, 3: 0.25}
+    assert all(abs(third.get(n, 0) / total - x / 2.27) < 0.04 for n, x in want.items())
+
+
 def test_embeddings_put_neighbours_closer(spark):
     ring = [(b + i, b + j, 1) for b in (0, 10) for i in range(6) for j in range(i)]
     g = G.build_graph(edges(spark, ring + [(0, 10, 1)]))
