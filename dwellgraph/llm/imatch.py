@@ -75,11 +75,10 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(df)], ["term", "df"])
 
     counted = rows.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    counted = cut(counted)
     n = docs.count()
-    total = counted.agg(F.sum("df")).first()[0] or 0
-    low = max(LOW * n, total / MAX_LEXICON)
-    kept = counted.filter((F.col("df") >= low) & (F.col("df") <= HIGH * n)).select("term").toPandas()  # at most MAX_LEXICON
+    frequent = cut(counted.filter((F.col("df") >= LOW * n) & (F.col("df") <= HIGH * n)))
+    total = frequent.agg(F.sum("df")).first()[0] or 0
+    kept = frequent.filter(F.col("df") >= total / MAX_LEXICON).select("term").toPandas()  # at most MAX_LEXICON
     return np.sort(kept["term"].to_numpy(dtype=np.int64).view(U64))
 
 
