@@ -95,6 +95,17 @@ def ngram_hashes(words: np.ndarray, n: int, gap: int = 1) -> np.ndarray:
     return out
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """An object that a Python worker keeps between tasks. Another key takes its place, so a reused worker holds one at a time."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 class RaggedCache:
     """From a string to an array of ids, kept between batches; it starts anew when it holds more than `limit` strings."""
 

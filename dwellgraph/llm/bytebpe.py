@@ -19,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .batches import RaggedCache, U64, mix, ragged, slices, texts_of
+from .batches import RaggedCache, U64, mix, ragged, resident, slices, texts_of
 
 NONE = np.int32(2**31 - 1)
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 CELLS = 1 << 21
 # Where white space is more than one space between two words, a text is split by the pattern as a whole.
 UNEVEN_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
@@ -179,14 +179,20 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
-
-
 def loaded(path: str, pattern: str) -> ByteBpe:
     """One encoder per Python worker."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(path, pattern)
-    return _LOADED[path, pattern]
+    return resident(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
+
+
+class Pieces:
+    """What decoding needs: the bytes of each id."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.bytes_of = {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,19 +210,17 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, ids, decoded binary): the bytes that the ids stand for. Null ids decode to no bytes."""
     rows = encoded.select(encoded[key].alias("key"), encoded[ids].alias("ids"))
     kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, pattern)
+        pieces = resident(("byte_pieces", path), lambda: Pieces(path))
         for batch in batches:
-            column = batch.column("ids")
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                raw = [bpe.decode(row or ()) for row in part.column("ids").to_pylist()]
+                raw = [pieces.decode(row or ()) for row in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), pa.array(raw, pa.binary())], ["key", "ids", "decoded"])
-            del column
 
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)

@@ -13,6 +13,7 @@ every text is UNDETERMINED; ties go to the language that sorts first; texts are
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .batches import U64, mix, slices, texts_of
+from .batches import U64, mix, resident, slices, texts_of
 
 UNDETERMINED = "und"
 MARK = "▁"
@@ -31,7 +32,7 @@ LONGEST_PIECE = 8
 LONGEST_WORD = 64  # longer runs are scored in parts of this length
 ROUNDS = 4
 FLOOR = 1e-7
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 def _code(chars: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -139,13 +140,21 @@ def learn(words: list[str], counts: np.ndarray, vocabulary: np.ndarray) -> np.nd
     return p[:, 0]
 
 
+class Cache:
+    """Scores of words seen lately: rows of a table, by word."""
+
+    def __init__(self, languages: int):
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((0, languages))
+
+
 @dataclass
 class Model:
     languages: list[str]
     vocabulary: np.ndarray
     probabilities: np.ndarray  # [piece, language]
-    known: dict[str, int] = field(default_factory=dict)
-    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+
+    mark: str = field(default_factory=lambda: uuid.uuid4().hex)  # of this model in a worker's cache
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
@@ -158,19 +167,20 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The best language of each text and its posterior."""
         found = [words_of(t) for t in texts]
-        if len(self.known) > CACHED_WORDS or not len(self.scores):
-            self.known, self.scores = {}, np.zeros((0, len(self.languages)))
-        fresh = list({w for ws in found for w in ws if w not in self.known})
+        cache = resident(("langid", self.mark), lambda: Cache(len(self.languages)))
+        if len(cache.known) > CACHED_WORDS:
+            cache.__init__(len(self.languages))
+        fresh = list({w for ws in found for w in ws if w not in cache.known})
         if fresh:
-            self.scores = np.concatenate([self.scores, self.word_scores(fresh)])
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            cache.scores = np.concatenate([cache.scores, self.word_scores(fresh)])
+            cache.known.update(zip(fresh, range(len(cache.known), len(cache.known) + len(fresh))))
         names, posteriors = [], np.zeros(len(texts))
-        get = self.known.__getitem__
+        get = cache.known.__getitem__
         for k, ws in enumerate(found):
             if not ws or not self.languages:
                 names.append(UNDETERMINED)
                 continue
-            total = self.scores[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0)
+            total = cache.scores[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0)
             best = int(total.argmax())
             names.append(self.languages[best])
             posteriors[k] = 1.0 / np.exp(total - total[best]).sum()
