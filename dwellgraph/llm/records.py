@@ -25,11 +25,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_dir
-from .batches import RaggedCache, slices, texts_of
+from .batches import RaggedCache, ragged, resident, slices, texts_of
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the masking formula
 NULL_ID = -(2**63)
 CACHED_WORDS = 400_000
+WORDS_IN_LINE = 200
 INDEX = np.dtype([("key", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 MANIFEST = "shard int, path string, n_records long, n_ids long, n_bytes long"
 
@@ -66,13 +67,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a match of the splitting pattern
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.words = RaggedCache(CACHED_WORDS)
         self.cores = RaggedCache(CACHED_WORDS)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for row in ids for i in row), np.int32, int(lengths.sum())), lengths
+        """Words of letters alone are encoded as lines of many, which saves most of a call's cost; such a line is taken apart where a match ends.
+        A line with more ends than words holds a word of several matches, and its words are encoded one by one, like all other words."""
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        lines = [plain[a : a + WORDS_IN_LINE] for a in range(0, len(plain), WORDS_IN_LINE)]
+        single = [k for k, w in enumerate(words) if not w.isalpha()]
+        owners, lengths, ids = [], [], []
+        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([" ".join([words[k] for k in line]) for line in lines], add_special_tokens=False)):
+            found = np.array(coded.ids, dtype=np.int32)
+            last = np.flatnonzero(self.ends[found])
+            if len(last) == len(line):
+                owners.append(np.array(line))
+                lengths.append(np.diff(last, prepend=-1))
+                ids.append(found)
+            else:
+                single.extend(line)
+        for k, coded in zip(single, self.tokenizer.encode_batch_fast([words[k] for k in single], add_special_tokens=False)):
+            owners.append(np.array([k]))
+            lengths.append(np.array([len(coded.ids)]))
+            ids.append(np.array(coded.ids, dtype=np.int32))
+        if not owners:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        owner, length, flat = np.concatenate(owners), np.concatenate(lengths), np.concatenate(ids)
+        order = np.argsort(owner)
+        return ragged(flat, (np.cumsum(length) - length)[order], length[order])[0], length[order]
 
     def _parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """New words by their parts: of an ASCII word, folded, a trailing mark is a match of its own after a letter."""
@@ -97,14 +122,9 @@ class WordEncoder:
         return np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])
 
 
-_LOADED: dict[str, WordEncoder] = {}
-
-
 def loaded(path: str) -> WordEncoder:
     """One encoder per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+    return resident(("word_bpe", path), lambda: WordEncoder(path))
 
 
 def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:

@@ -53,7 +53,7 @@ def test_byte_bpe_cache_limit(monkeypatch):
 
 def test_byte_bpe_odd_rows(documents, odd_rows):
     docs = documents(odd_rows).withColumn("ids", F.lit(1))
-    got = bytebpe.decode(bytebpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    got = bytebpe.decode(bytebpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted([(r.doc_id, bytes(r.decoded).decode()) for r in got], key=key) == sorted([(i, t or "") for i, t in odd_rows], key=key)
     assert bytebpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
@@ -86,6 +86,16 @@ def test_records_round_trip(spark, documents, odd_rows):
     assert sorted((r.start, r.ids) for r in shuffled) == [(r["start"], r["ids"]) for r in got]
 
 
+def test_word_encoder_is_the_library():
+    encoder, lib = records.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = tricky_texts() + ["İstanbul İ ﬁne Ǆ ß ŒUVRE ΟΔΟΣ. ΣΣ e\u0301te\u0301 x" for _ in range(3)] + [" ".join(chr(c) + "a" for c in range(0x80, 0x2100))]
+    encoder.words.limit = encoder.cores.limit = 50
+    for a in range(0, len(texts), 9):
+        ids, bounds = encoder.encode(texts[a : a + 9])
+        for t, b, c in zip(texts[a : a + 9], bounds, bounds[1:]):
+            assert ids[b:c].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_records_damage_and_empty(documents):
     good = records.frame(b"abc") + records.frame(b"")
     assert records.unframe(good, 0)[0] == b"abc" and records.unframe(good, records.unframe(good, 0)[1])[0] == b""
