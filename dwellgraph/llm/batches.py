@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
@@ -102,6 +103,7 @@ def resident(key: tuple, make: Callable):
     """An object that a Python worker keeps between tasks. Another key takes its place, so a reused worker holds one at a time."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
+        gc.collect()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 

@@ -32,7 +32,7 @@ LONGEST_PIECE = 8
 LONGEST_WORD = 64  # longer runs are scored in parts of this length
 ROUNDS = 4
 FLOOR = 1e-7
-CACHED_WORDS = 200_000
+CACHED_WORDS = 120_000
 
 
 def _code(chars: np.ndarray, start: np.ndarray) -> np.ndarray:

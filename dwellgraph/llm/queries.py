@@ -97,7 +97,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
+    coded = bytebpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         _hex(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_sha256"), _hex("decoded").alias("decoded_sha256"),

@@ -56,6 +56,9 @@ def test_byte_bpe_odd_rows(documents, odd_rows):
     got = bytebpe.decode(bytebpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted([(r.doc_id, bytes(r.decoded).decode()) for r in got], key=key) == sorted([(i, t or "") for i, t in odd_rows], key=key)
+    both = bytebpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, r.ids)
+    assert sorted(both, key=order) == sorted(got, key=order)
     assert bytebpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
