@@ -9,7 +9,8 @@ KEPT = "/:=&?#+!$,;'@()*[]"
 
 
 def six_decimals(c: Column | str) -> Column:
-    return F.format_string("%.6f", F.col(c) if isinstance(c, str) else c)
+    """The exact binary value at six decimals, ties to even; formatting by a pattern like %.6f would round the shortest decimal instead."""
+    return F.replace(F.format_number(F.col(c) if isinstance(c, str) else c, 6), F.lit(","), F.lit(""))
 
 
 def _form_encode(c: Column) -> Column:

@@ -26,6 +26,9 @@ def mark_adjacent(df: DataFrame, adjacency: DataFrame | None, cid: str, nbr_cid:
     listed = adjacency.select(
         F.col("cid").alias("_a"), F.col("nbr_cid").alias("_b"), F.lit(True).alias("_hit")
     ).distinct()
+    # Counted first. A list of neighbour pairs is small; beyond the bound the stays have to leave their users' partitions for this join.
+    if adjacency.count() <= D.BROADCAST_ROWS:
+        listed = F.broadcast(listed)
     joined = df.join(listed, (F.col(cid) == F.col("_a")) & (F.col(nbr_cid) == F.col("_b")), "left")
     return joined.withColumn(name, F.col("_hit").isNotNull()).drop("_a", "_b", "_hit")
 

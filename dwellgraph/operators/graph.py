@@ -13,6 +13,10 @@ from ..session import cut
 from .ordered import per_key
 
 
+# Higher neighbours of a corner whose pairs are formed in one task.
+CORNER_BLOCK = 1024
+
+
 def graph_key(g: DataFrame, *cols: str) -> list[str]:
     return [*(["graph"] if "graph" in g.columns else []), *cols]
 
@@ -159,9 +163,12 @@ def closing_edges(g: DataFrame) -> DataFrame:
         F.when(forward, F.col("uv")).otherwise(F.col("vu")).alias("out"),
         F.when(forward, F.col("vu")).otherwise(F.col("uv")).alias("back"),
     ))
-    one = arcs.select(*key, "lo", F.col("hi").alias("x"), F.col("out").alias("lx"), F.col("back").alias("xl"))
-    two = arcs.select(*key, "lo", F.col("hi").alias("y"), F.col("out").alias("ly"), F.col("back").alias("yl"))
-    wedges = one.join(two, [*key, "lo"]).filter(F.col("x") < F.col("y")).select(
+    # The pairs of a corner with many higher neighbours are dealt to several tasks, by their first side.
+    parts = arcs.groupBy(*key, "lo").agg(F.ceil(F.count(F.lit(1)) / CORNER_BLOCK).cast("int").alias("_parts"))
+    arcs_ = arcs.join(parts, [*key, "lo"])
+    one = arcs_.withColumn("_part", F.pmod(F.xxhash64("hi"), F.col("_parts")).cast("int")).select(*key, "lo", "_part", F.col("hi").alias("x"), F.col("out").alias("lx"), F.col("back").alias("xl"))
+    two = arcs_.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*key, "lo", "_part", F.col("hi").alias("y"), F.col("out").alias("ly"), F.col("back").alias("yl"))
+    wedges = one.join(two, [*key, "lo", "_part"]).filter(F.col("x") < F.col("y")).select(
         *key, "lo", F.col("x.hi").alias("x"), F.col("y.hi").alias("y"), "lx", "xl", "ly", "yl"
     )
     third = arcs.select(*key, F.col("lo").alias("x"), F.col("hi.hi").alias("y"), F.col("out").alias("xy"),
@@ -190,10 +197,11 @@ def edge_transitions(g: DataFrame, p: float = 1.0, q: float = 1.0) -> DataFrame:
     """
     key = graph_key(g)
     edge = [*key, "src", "dst"]
+    g = cut(g.select(*key, "src", "dst", "weight"))  # read many times below
     leaving = g.groupBy(*key, F.col("src").alias("dst")).agg(F.sum("weight").alias("_out"))
     back = g.select(*key, F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("weight").alias("_back"))
     # A self-loop at src is met as the return to src, or has no third corner to close.
-    closing = closing_edges(g)
+    closing = cut(closing_edges(g))  # the dearest step, read twice
     loops = g.filter("src = dst").select(*key, F.col("src").alias("node"), F.col("weight").alias("_loop"))
     e = g.select(*edge).join(leaving, [*key, "dst"]).join(back, edge, "left")
     closed = closing.groupBy(*edge).agg(F.sum("weight").alias("_closed"))

@@ -135,8 +135,9 @@ def collapsed(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S, compat: bool
         out = _units(x, o)
         ranked = F.transform(_stations("_cells"), lambda s: F.struct(
             (-s["score"]).alias("rank"), s["seen"].alias("seen"), s["cid"].alias("cid"), s["lon"].alias("lon"), s["lat"].alias("lat")))
-        best = F.array_min(ranked)
-        only = F.col("_cells")[0]
+        # A column of its own, so that the cells of a group are compared once and not for each field.
+        out = out.withColumn("_best", F.when(F.col("_unit") == 0, F.array_min(ranked)))
+        best, only = F.col("_best"), F.col("_cells")[0]
         chosen = F.when(F.col("_unit") == 0, F.struct(best["cid"].alias("cid"), best["lon"].alias("lon"), best["lat"].alias("lat"))).otherwise(
             F.struct(only["cid"].alias("cid"), only["lon"].alias("lon"), only["lat"].alias("lat")))
     out = out.withColumn("_chosen", chosen).withColumns({

@@ -64,7 +64,7 @@ def flatten_nearby(responses: DataFrame) -> DataFrame:
 def describe_pois(pois: DataFrame) -> DataFrame:
     """uid and the comma-joined text of its tag, name, direction and distance."""
     return pois.filter("uid IS NOT NULL").select(
-        "location_key", "uid", F.concat_ws(",", "tag", "name", "direction", "distance").alias("description")
+        "location_key", "uid", F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("tag", "name", "direction", "distance")]).alias("description")
     )
 
 
@@ -85,7 +85,7 @@ def flatten_details(responses: DataFrame) -> DataFrame:
 def detail_lines(details: DataFrame) -> DataFrame:
     """Tab-separated text rows, positions at six decimals."""
     cols = [six_decimals(c) if c in ("lng", "lat") else F.col(c) for c in DETAIL_COLUMNS]
-    return details.select(F.concat_ws("\t", *cols).alias("value"))
+    return details.select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in cols]).alias("value"))
 
 
 def signed_requests(df: DataFrame, request: Column, secret: str, host: str = "") -> DataFrame:

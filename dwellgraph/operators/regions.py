@@ -44,7 +44,7 @@ def region_cells(regions: DataFrame) -> DataFrame:
 def region_lines(regions: DataFrame) -> DataFrame:
     """Text form: tab-joined cells, longitudes and latitudes, times and stay, tab-joined counts."""
     def listed(field: str):
-        return F.array_join(F.transform("cells", lambda c: c[field].cast("string")), "\t")
+        return F.array_join(F.transform("cells", lambda c: c[field].cast("string")), "\t", "")
 
     stamp = "yyyyMMddHHmmss"
     return regions.select(

@@ -23,8 +23,8 @@ def _fields(sep: str = ",") -> Column:
     return F.split(F.regexp_replace("value", f"{sep}+$", ""), sep)
 
 
-def _with_fields(lines: DataFrame, n: int) -> DataFrame:
-    return lines.withColumn("_f", _fields()).filter(F.size("_f") == n)
+def _with_fields(lines: DataFrame, n: int, fields: Column | None = None) -> DataFrame:
+    return lines.withColumn("_f", _fields() if fields is None else fields).filter(F.size("_f") == n)
 
 
 def parse_cdr(lines: DataFrame) -> DataFrame:
@@ -66,7 +66,8 @@ def parse_stays(lines: DataFrame, default_count: int | None = None) -> DataFrame
     """Eight-field stays; with default_count, seven-field lines that lack the count."""
     f = F.col("_f")
     count = F.lit(default_count) if default_count is not None else F.expr("try_cast(_f[7] AS DOUBLE)")
-    return _with_fields(lines, 8 if default_count is None else 7).select(
+    # Written by this library: an empty field at the end is a null.
+    return _with_fields(lines, 8 if default_count is None else 7, F.split("value", ",")).select(
         f[3].alias("user"), f[0].alias("cid"),
         F.expr("try_cast(_f[1] AS DOUBLE)").alias("lon"), F.expr("try_cast(_f[2] AS DOUBLE)").alias("lat"),
         parse_stamp(f[4]).alias("start_ts"), parse_stamp(f[5]).alias("end_ts"),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clock import STAMP
+from ..functions.text import six_decimals
 
 
 def csv_lines(df: DataFrame) -> DataFrame:
-    """Rows as comma-joined text, timestamps as yyyyMMddHHmmss."""
-    cols = [F.date_format(n, STAMP) if t.startswith("timestamp") else F.col(n) for n, t in df.dtypes]
-    return df.select(F.concat_ws(",", *cols).alias("value"))
+    """Rows as comma-joined text, timestamps as yyyyMMddHHmmss; a null is an empty field."""
+    cols = [F.date_format(n, STAMP) if t.startswith("timestamp") else F.col(n).cast("string") for n, t in df.dtypes]
+    return df.select(F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cols]).alias("value"))
 
 
 def stay_lines(stays: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def embedding_lines(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(
         F.lit(1).alias("position"), F.col("node"),
         F.concat_ws(" ", F.col("node").cast("string"),
-                    F.concat_ws(" ", F.transform("vector", lambda v: F.format_string("%.6f", v.cast("double"))))).alias("value"),
+                    F.concat_ws(" ", F.transform("vector", lambda v: six_decimals(v.cast("double"))))).alias("value"),
     )
     head = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).select(
         F.lit(0).alias("position"), F.lit(None).cast("long").alias("node"),

@@ -248,6 +248,14 @@ FROM w JOIN z ON z.src = w.src AND z.dst = w.dst WHERE back OR known
 UNION ALL SELECT src, dst, NULL, round(1.0 / {q} / norm, 10) FROM z"""
 
 
+def _every_step(p: float, q: float) -> str:
+    return f"""
+w AS (SELECT e.src, e.dst, n.dst AS nbr, CASE WHEN n.dst = e.src THEN n.weight / {p} WHEN c.src IS NOT NULL THEN n.weight ELSE n.weight / {q} END AS mass
+      FROM g e JOIN g n ON n.src = e.dst LEFT JOIN g c ON c.src = n.dst AND c.dst = e.src),
+y AS (SELECT src, dst, mass / sum(mass) OVER (PARTITION BY src, dst) AS prob FROM w)
+SELECT src, dst, count(*) AS n, round(sum(prob * prob), 10) AS squares, round(max(prob), 10) AS largest FROM y GROUP BY src, dst"""
+
+
 def _u(purpose: str, seed: int, more: str = "") -> str:
     key = f"concat_ws('|', '{seed}', w.graph, w.start, w.walk, w.step, w.try, '{purpose}'{more})"
     return f"(('0x' || substr(md5({key}), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
@@ -357,7 +365,8 @@ WHERE "user" IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'error'
     q["alias_join"] = _with([RAW], 'SELECT "user", s, (cid::BIGINT % 12)::VARCHAR AS cid FROM raw')
     q["min_rows"] = _with(BASE, f"""SELECT "user", s, cid, round(lon, 6) AS lon, round(lat, 6) AS lat FROM rec
 WHERE "user" IN (SELECT "user" FROM rec GROUP BY 1 HAVING count(*) > {T.MIN_RECORDS})""")
-    q["ordered_trace"] = q["cdr_located"]
+    q["ordered_trace"] = _with(BASE, """SELECT "user", s, cid, round(lon, 6) AS lon, round(lat, 6) AS lat,
+row_number() OVER (PARTITION BY "user" ORDER BY s, cid, lon, lat) AS position FROM rec""")
     q["time_sorted"] = _with([RAW], 'SELECT "user", s, cid FROM raw')
 
     q["stay_runs"] = _with(STAYS, f"SELECT {OUT} FROM stays")
@@ -423,11 +432,17 @@ JOIN (SELECT "user", seg_id, unit, string_agg(cid, {tab} ORDER BY seen) AS c, st
 FROM (SELECT *, ((row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 1024)::INT AS block FROM g) GROUP BY src, block""")
     q["node_transitions"] = _with(GRAPH, """SELECT src, dst, weight, round(weight / sum(weight) OVER (PARTITION BY src), 10) AS prob FROM g""")
     q["edge_transitions"] = _with(GRAPH, "").rstrip() + "," + _transitions(0.5, 2.0)
+    q["step_probabilities"] = _with(GRAPH, "").rstrip() + "," + _every_step(0.5, 2.0)
     q["edge_transitions_directed"] = _with(DIRECTED, "").rstrip() + "," + _transitions(0.25, 4.0)
     q["walks_first_order"] = _with(GRAPH + [ONE_GRAPH], "").rstrip() + "," + _walks(2, 20)
+    q["walks_default"] = _with(GRAPH + [ONE_GRAPH], "").rstrip() + "," + _walks(10, 80, seed=11)
     q["walks_second_order"] = _with(GRAPH + [ONE_GRAPH], "").rstrip() + "," + _walks(1, 10, 0.5, 2.0)
     q["walks_directed"] = _with(DIRECTED + [ONE_GRAPH], "").rstrip() + "," + _walks(2, 10, 2.0, 0.5, seed=3)
     q["walks_thresholds"] = _with(GRAPH + MANY_GRAPHS, "").rstrip() + "," + _walks(1, 10)
+    for name, size in (("embeddings", 32), ("embed_graph", 128)):
+        q[name] = _with(GRAPH, f"SELECT DISTINCT unnest([src, dst]) AS node, {size} AS dimensions, true AS finite, true AS nonzero FROM g")
+    q["location_keys_exact"] = """SELECT c_custkey, printf('%.6f', ((c_custkey * 104729 % 400000) * 10 + 5)::DOUBLE / 1e7::DOUBLE - 0.02::DOUBLE) || ',' ||
+printf('%.6f', 110.0::DOUBLE + (c_custkey * 7919 % 20000000)::DOUBLE / 1e7::DOUBLE) AS location_key FROM customer"""
     q["embedding_lines"] = """SELECT vec_id || ' ' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ' ') AS value
 FROM embeddings UNION ALL SELECT count(*) || ' ' || max(len(embedding)) FROM embeddings"""
 

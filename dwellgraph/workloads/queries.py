@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clock import STAMP, epoch
 from ..operators import dimensions, drift, embedding, graph, meetings, pingpong, places, regions, stays, walks
-from ..plans import cleaning
+from ..plans import cleaning, embedding as plan
 from ..sources import lines, sinks
 from . import tables as T
 
@@ -131,6 +131,14 @@ def location_keys(spark, d):
     return places.location_key(lines.parse_locations(text)).select("location_key")
 
 
+@query
+def location_keys_exact(spark, d):
+    """Keys of positions with seven decimals, many of which end in a five."""
+    k = F.col("c_custkey").cast("long")
+    spots = T.table(spark, d, "customer").select((F.lit(110.0) + (k * 7919 % 20000000) / 1e7).alias("lon"), (((k * 104729 % 400000) * 10 + 5) / 1e7 - 0.02).alias("lat"), k.alias("c_custkey"))
+    return places.location_key(spots).select("c_custkey", "location_key")
+
+
 # Lookups and gates.
 
 @query
@@ -155,7 +163,9 @@ def min_rows(spark, d):
 
 @query
 def ordered_trace(spark, d):
-    return _plain(stays.order_trace(_records(spark, d)))
+    """Each row with its position among the rows of its user, as they lie in the output."""
+    placed = stays.order_trace(_records(spark, d)).withColumn("_at", F.monotonically_increasing_id())
+    return _plain(placed.withColumn("position", F.row_number().over(Window.partitionBy("user").orderBy("_at"))).drop("_at"))
 
 
 @query
@@ -314,6 +324,15 @@ def edge_transitions(spark, d):
     return _plain(graph.edge_transitions(_graph(spark, d), p=0.5, q=2.0))
 
 
+@query
+def step_probabilities(spark, d):
+    """The steps src -> dst -> nbr after each edge of the graph: their number, and the sum of squares and the largest of their probabilities."""
+    g = _graph(spark, d)
+    steps = g.select("src", "dst").join(g.select(F.col("src").alias("dst"), F.col("dst").alias("nbr")), "dst")
+    found = graph.step_probabilities(steps, g, graph.edge_transitions(g, p=0.5, q=2.0))
+    return _plain(found.groupBy("src", "dst").agg(F.count("nbr").alias("n"), F.sum(F.col("prob") * F.col("prob")).alias("squares"), F.max("prob").alias("largest")))
+
+
 @query
 def edge_transitions_directed(spark, d):
     return _plain(graph.edge_transitions(graph.build_graph(T.edges(spark, d), directed=True), p=0.25, q=4.0))
@@ -329,6 +348,12 @@ def walks_first_order(spark, d):
     return _paths(walks.random_walks(_graph(spark, d), num_walks=2, walk_length=20, seed=7))
 
 
+@query
+def walks_default(spark, d):
+    """The stated workload: 10 walks of 80 nodes from every node."""
+    return _paths(walks.random_walks(_graph(spark, d), seed=11))
+
+
 @query
 def walks_second_order(spark, d):
     return _paths(walks.random_walks(_graph(spark, d), num_walks=1, walk_length=10, p=0.5, q=2.0, seed=7))
@@ -353,8 +378,19 @@ def embeddings(spark, d):
     g = graph.threshold_graphs(_graph(spark, d), T.THRESHOLDS)
     w = walks.random_walks(g, num_walks=1, walk_length=10, seed=7)
     v = embedding.embed_walks(w, dimensions=32, window_size=5, workers=4, seed=7)
-    return v.select("node", F.size("vector").alias("dimensions"), F.array_join(
-        F.transform("vector", lambda x: F.format_string("%.6f", x.cast("double"))), " ").alias("vector"))
+    return _vector_facts(v)
+
+
+def _vector_facts(v: DataFrame) -> DataFrame:
+    """What is determined of trained vectors."""
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return v.select("node", F.size("vector").alias("dimensions"), finite.alias("finite"), F.exists("vector", lambda x: x != 0).alias("nonzero"))
+
+
+@query
+def embed_graph(spark, d):
+    """The whole pipeline over four graphs with the stated walk length and dimensions, but two walks from each node (walks_default makes ten)."""
+    return _vector_facts(plan.embed_graph(T.edges(spark, d), plan.EmbeddingConfig(weighted=True, thresholds=tuple(T.THRESHOLDS), num_walks=2, seed=7)))
 
 
 @query

@@ -4,7 +4,7 @@ from urllib import parse
 
 from pyspark.sql import functions as F
 
-from dwellgraph.functions.text import KEPT
+from dwellgraph.functions.text import KEPT, six_decimals
 from dwellgraph.operators import places as P
 from dwellgraph.operators.meetings import meetings
 from dwellgraph.sources import lines as L
@@ -118,3 +118,18 @@ def test_meetings_against_all_pairs(spark):
     for hot in (None, 5):
         assert {(r.src, r.dst): r.weight for r in meetings(df, hot_rows=hot).collect()} == want
     assert at(0).year == 2024 and want
+
+
+def test_decimals_are_those_of_the_exact_value(spark):
+    values = [110.3409155, 0.1234565, 0.0000005, 1.0000025, -0.0000005, 123456.0000005, 0.00390625, -179.1234565, 2.5000005]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = {r.i: r.s for r in df.select("i", six_decimals("x").alias("s")).collect()}
+    assert got == {i: "%.6f" % x for i, x in enumerate(values)}
+
+
+def test_nulls_stay_fields(spark):
+    rows = [("u", "c", None, 2.0, 10, None), ("u", None, 1.5, None, 20, 3)]
+    stays = spark.createDataFrame(rows, "user string, cid string, lon double, lat double, stay_s long, n_records long").selectExpr(
+        "user", "cid", "lon", "lat", "timestamp'2015-09-01 00:00:00' AS start_ts", "timestamp'2015-09-01 01:00:00' AS end_ts", "stay_s", "n_records")
+    back = sorted((r.stay_s, r.lon, r.lat, r.n_records) for r in L.parse_stays(sinks.stay_lines(stays)).collect())
+    assert back == [(10, None, 2.0, None), (20, 1.5, None, 3)]
