@@ -14,6 +14,7 @@ null id is written as NULL_ID and comes first; no rows give no files and an empt
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_dir
@@ -31,6 +33,7 @@ MASK_DELTA = 0xA282EAD8  # fixed value of the masking formula
 NULL_ID = -(2**63)
 CACHED_WORDS = 400_000
 WORDS_IN_LINE = 200
+FIRST_COMBINING = "\u0300"  # below it, NFC changes nothing and case does not depend on neighbours
 INDEX = np.dtype([("key", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 MANIFEST = "shard int, path string, n_records long, n_ids long, n_bytes long"
 
@@ -70,9 +73,15 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a match of the splitting pattern
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.split = regex.compile(self._pattern()).findall
         self.words = RaggedCache(CACHED_WORDS)
         self.cores = RaggedCache(CACHED_WORDS)
 
+    def _pattern(self) -> str:
+        """The pattern that splits texts before merging, as the tokenizer's file states it."""
+        stated = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        return next(p["pattern"]["Regex"] for p in stated.get("pretokenizers", [stated]) if p["type"] == "Split")
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters alone are encoded as lines of many, which saves most of a call's cost; such a line is taken apart where a match ends.
         A line with more ends than words holds a word of several matches, and its words are encoded one by one, like all other words."""
@@ -100,12 +109,13 @@ class WordEncoder:
         return ragged(flat, (np.cumsum(length) - length)[order], length[order])[0], length[order]
 
     def _parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """New words by their parts: of an ASCII word, folded, a trailing mark is a match of its own after a letter."""
+        """New words by their parts: folded, and cut into the matches of the splitting pattern, which the library encodes one by one. A word with
+        characters that normalisation may change otherwise than by case, or with unprintable ones, is a part itself."""
         keys = []
         for w in words:
-            if w.isascii():
-                w = w.lower()
-                keys.append([w[:-1], w[-1]] if len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha() else [w])
+            if w.isascii() or max(w) < FIRST_COMBINING:
+                low = w.lower()
+                keys.append([low] if low.isalpha() else self.split(low) if low.isprintable() else [w])
             else:
                 keys.append([w])
         ids, bounds = self.cores.gather(keys, self._encode)
