@@ -127,8 +127,7 @@ class RaggedCache:
             self._forget()
         flat = list(chain.from_iterable(keys))
         counts = np.fromiter(map(len, keys), np.int64, len(keys))
-        found = list(map(self.known.get, flat, repeat(-1)))
-        index = np.array(found, dtype=np.int64)
+        index = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(index < 0).tolist()
         if missing:
             fresh = list(dict.fromkeys([flat[k] for k in missing]))
