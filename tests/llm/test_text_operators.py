@@ -222,3 +222,14 @@ def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (1, None, None)], "page_id long, url string, html string")
     assert htmlcrf.extract(pages, htmlcrf.train(pages)).count() == 3
     assert htmlcrf.extract(pages.limit(0), htmlcrf.train(pages.limit(0))).count() == 0
+
+
+def test_word_encoder_agrees_with_the_library_on_any_characters():
+    encoder = records.WordEncoder(WORDS)
+    draw = random.Random(3)
+    alphabet = [chr(c) for c in range(0x340)] + list("  \n'''stremvlld,.;1$$") * 20
+    texts = ["", " ", "\u0130stanbul's  don't\t \u00b4s", "\x1cx\x1fy \x85", "\u03a3\u0391\u03a3 x\u00b2\u00b3", "E\u0301 a, <|endoftext|>", "'S 'RE 'sx x''s"]
+    texts += ["".join(draw.choices(alphabet, k=60)) for _ in range(500)]
+    ids, bounds = encoder.encode(texts)
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
