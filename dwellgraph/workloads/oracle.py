@@ -367,7 +367,7 @@ WHERE "user" IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'error'
 WHERE "user" IN (SELECT "user" FROM rec GROUP BY 1 HAVING count(*) > {T.MIN_RECORDS})""")
     q["ordered_trace"] = _with(BASE, """SELECT "user", s, cid, round(lon, 6) AS lon, round(lat, 6) AS lat,
 row_number() OVER (PARTITION BY "user" ORDER BY s, cid, lon, lat) AS position FROM rec""")
-    q["time_sorted"] = _with([RAW], 'SELECT "user", s, cid FROM raw')
+    q["time_sorted"] = _with([RAW], 'SELECT "user", s, cid, TRUE AS in_order FROM raw')
 
     q["stay_runs"] = _with(STAYS, f"SELECT {OUT} FROM stays")
     q["stay_runs_keep_last"] = _with(BASE + _stays(keep_last=True), f"SELECT {OUT} FROM stays")

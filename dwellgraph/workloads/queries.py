@@ -170,7 +170,10 @@ def ordered_trace(spark, d):
 
 @query
 def time_sorted(spark, d):
-    return _plain(stays.sort_by_time(T.call_records(spark, d)))
+    """Each row with whether it lies behind no later row of its user in the output."""
+    placed = _plain(stays.sort_by_time(T.call_records(spark, d))).withColumn("_at", F.monotonically_increasing_id())
+    before = F.lag("s").over(Window.partitionBy("user").orderBy("_at"))
+    return placed.withColumn("in_order", F.coalesce(F.col("s") >= before, F.lit(True))).drop("_at")
 
 
 # Trajectories.
