@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare word n-grams as seeds, then Smith-Waterman alignment of passages with test items.
+"""Benchmark decontamination: word n-grams of the items as seeds, then Smith-Waterman alignment of passages with test items.
 
 One pass over the documents looks for the items' n-grams in a bitmap of fixed size (broadcast: FILTER_BITS bits, whatever the benchmark's size) and
-keeps the passages around two or more of them, as word hashes. The passages are joined with the items on seeds that are rare for their item: an
-n-gram counts as rare if it is in at most twice as many documents as the lower quartile of the item's n-grams. So a passage that has leaked into many
-documents keeps its seeds, while an item's commonplace n-grams are left out. Each pair with two rare seeds is aligned (match 2, mismatch -1, gap -1);
+keeps the passages around two or more of them, as word hashes. The passages are joined with the items on the exact seeds, and every pair that shares two
+distinct seeds is aligned (match 2, mismatch -1, gap -1), however many documents hold them: an edited or partial leak keeps its pair in one document as in
+many. Only pairs with too few words in common to reach the score, whatever their order, are spared the alignment;
 the score is that of the best local alignment over that of the whole item with itself.
 
 Defined cases: null or empty texts have no seeds; an item of fewer than LEAST_WORDS words is too short to show a leak and is never found; items or
@@ -45,6 +45,15 @@ def align(passage: np.ndarray, item: np.ndarray) -> float:
     return best / (MATCH * len(item))
 
 
+def may_reach(passage: np.ndarray, item: np.ndarray, least_score: float) -> bool:
+    """False if the two have too few words in common, repeated ones counted, for an alignment of that score."""
+    words, needed = np.unique(item, return_counts=True)
+    at = np.searchsorted(words, passage)
+    at[at == len(words)] = 0
+    held = np.bincount(at[words[at] == passage], minlength=len(words))
+    return int(np.minimum(held, needed).sum()) / len(item) >= least_score
+
+
 def items_of(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(item, words) of the items that are long enough."""
     rows = benchmark.select(benchmark[key].cast("long").alias("item"), benchmark[text].alias("text"))
@@ -127,18 +136,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     found = cut(passages(docs, bitmap(seeds), reach, key, text).withColumn("passage", F.xxhash64("id", "start", "words")))
 
     hits = found.select("id", "passage", F.explode("seeds").alias("seed")).join(seeds.select("seed").distinct(), "seed")  # exact, after the bitmap
-    frequency = hits.groupBy("seed").agg(F.approx_count_distinct("id", 0.02).alias("df"))
-    ranked = seeds.join(frequency, "seed", "left").select("item", "seed", F.coalesce("df", F.lit(0)).alias("df"))
-    usual = ranked.groupBy("item").agg(F.percentile("df", F.lit(0.25)).alias("usual"))
-    rare = ranked.join(usual, "item").filter(F.col("df") <= F.greatest(2 * F.col("usual"), F.lit(1))).select("item", "seed")
-    pairs = hits.join(rare, "seed").groupBy("passage", "item").agg(F.count_distinct("seed").alias("n")).filter(F.col("n") >= LEAST_SEEDS)
+    pairs = hits.join(seeds, "seed").groupBy("passage", "item").agg(F.count_distinct("seed").alias("n")).filter(F.col("n") >= LEAST_SEEDS)
     ready = pairs.select("passage", "item").join(items.withColumnRenamed("words", "wanted"), "item").join(found.drop("seeds"), "passage").select("id", "item", "start", "words", "wanted")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            both = [(np.asarray(p, np.int64), np.asarray(w, np.int64)) for p, w in zip(frame["words"], frame["wanted"])]
             yield pd.DataFrame({
-                "id": frame["id"].astype("Int64"), "item": frame["item"].astype("Int64"), "start": frame["start"], "n_words": [len(w) for w in frame["words"]],
-                "score": [align(np.asarray(p, np.int64), np.asarray(w, np.int64)) for p, w in zip(frame["words"], frame["wanted"])],
+                "id": frame["id"].astype("Int64"), "item": frame["item"].astype("Int64"), "start": frame["start"], "n_words": [len(p) for p, _ in both],
+                "score": [align(p, w) if may_reach(p, w, least_score) else -1.0 for p, w in both],
             })
 
     scored = ready.mapInPandas(score, "id long, item long, start int, n_words int, score double").filter(F.col("score") >= least_score)

@@ -124,6 +124,26 @@ def test_decontamination(documents, spark):
     assert decontam.contaminated(documents([]), bench).count() == 0
 
 
+def test_edited_and_cut_items_in_many_documents(documents, spark):
+    r = random.Random(8)
+    edited, part = ([f"{name}{k}" for k in range(30)] for name in "ab")
+    changed = ["other" if k % 6 == 5 else w for k, w in enumerate(edited)]
+    noise = lambda: [f"n{r.randrange(10**6)}" for _ in range(40)]
+    rows = [(k, " ".join(noise() + changed + noise())) for k in range(50)] + [(100 + k, " ".join(noise() + part[:20] + noise())) for k in range(2)]
+    rows += [(200 + k, " ".join(noise() + part[20 + k : 23 + k] + noise())) for k in range(8)]  # rarer n-grams of an item elsewhere
+    bench = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(part))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontam.contaminated(documents(rows), bench).collect()}
+    assert set(got) == {(k, 1) for k in range(50)} | {(100, 2), (101, 2)}
+    assert all(got[k, 1] == pytest.approx(23 / 30) for k in range(50)) and got[100, 2] == pytest.approx(2 / 3)
+
+
+def test_spared_alignments_reach_no_score():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = r.integers(0, 12, r.integers(1, 30)), r.integers(0, 12, r.integers(8, 20))
+        assert decontam.may_reach(a, b, 0.5) or decontam.align(a, b) < 0.5
+
+
 def plain_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1))
     for i in range(1, len(a) + 1):
