@@ -231,6 +231,15 @@ def test_disclosing_terms_and_sanitised_text(documents):
     assert sanitize.spans(documents([])).count() == 0
 
 
+def test_copies_do_not_hide_disclosing_terms(documents):
+    page = "line of words Mira Quell mira@site.org closing part"
+    rows = [(k, page) for k in range(60)] + [(100, "other text here Mira Quell mira@site.org and more of it")]
+    rows += [(200 + k, f"plain line {'abcdefgh'[k % 8] * 3} of words and closing part {k} here other text more of it") for k in range(200)]
+    got = {r.doc_id: [s["value"] for s in r.terms] for r in sanitize.spans(documents(rows)).collect()}
+    assert got[0] == got[59] == got[100] == ["remove", "remove", "remove"][: len(got[100])] and len(got[0]) >= 2
+    assert not any(got[200 + k] for k in range(200))
+
+
 def test_pipeline_stages(spark, documents, odd_rows):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
