@@ -240,6 +240,12 @@ def test_copies_do_not_hide_disclosing_terms(documents):
     assert not any(got[200 + k] for k in range(200))
 
 
+def test_terms_beside_an_entity_of_one_text(documents):
+    rows = [(1, "some words of Mira Quell mira@site.org closing part")] + [(200 + k, f"plain words of {'abcdefgh'[k % 8] * 3} and closing part of some text") for k in range(200)]
+    texts = {r.doc_id: r.text for r in sanitize.sanitised(documents(rows)).collect()}
+    assert texts[1].split() == "some words of [EMAIL] closing part".split() and all(texts[i] == t for i, t in rows[1:])
+
+
 def test_pipeline_stages(spark, documents, odd_rows):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
