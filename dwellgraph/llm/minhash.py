@@ -35,6 +35,7 @@ ROWS = 6
 BANDS = SIZE // ROWS
 LEAST_PERCENT = 85  # a link: 100 * intersection >= 85 * union
 BLOCK_SHINGLES = 150_000  # of all members of a block
+BLOCK_MEMBERS = 2_000  # a task's matrices have a row or column for each member
 _SEEDS = seeds(SIZE, 1)
 _BAND_SEEDS = seeds(BANDS, 2)
 
@@ -149,16 +150,17 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return out
 
 
-def verified(members: DataFrame) -> DataFrame:
-    """(a, b): links that connect the members (cluster, node, set) of each cluster as all their links do."""
+def dealt(members: DataFrame) -> DataFrame:
+    """The members (cluster, node, set) once for each pair of blocks (cluster, b1, p1, b2, p2) they are compared in; second: as part of the second block."""
     n = F.size("set")
     members = members.withColumn("size", n).withColumn("band", F.floor(F.log(n) / -np.log(LEAST_PERCENT / 100)).cast("int"))
-    weight = members.groupBy("cluster", "band").agg(F.sum("size").alias("w"))
-    large = weight.groupBy("cluster").agg(F.sum("w").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("w") / BLOCK_SHINGLES).cast("int")))).alias("parts"))
+    weight = members.groupBy("cluster", "band").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("m"))
+    count = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
+    large = weight.groupBy("cluster").agg(F.sum("w").alias("total"), F.sum("m").alias("count"), F.map_from_entries(F.collect_list(F.struct(F.col("band"), count.alias("n")))).alias("parts"))
     # parts: an entry for each size band of a cluster, and there are at most 43 bands for each factor of a thousand in size.
     placed = members.join(large, "cluster")
     own = F.pmod(F.xxhash64("node", "size"), F.col("parts")[F.col("band")]).cast("int")
-    placed = placed.withColumn("own", F.when(F.col("total") <= BLOCK_SHINGLES, F.lit(-1)).otherwise(own))
+    placed = placed.withColumn("own", F.when((F.col("total") <= BLOCK_SHINGLES) & (F.col("count") <= BLOCK_MEMBERS), F.lit(-1)).otherwise(own))
 
     def blocks(band, lower: bool):
         """Keys of the block pairs with a band: own block first or second."""
@@ -176,7 +178,11 @@ def verified(members: DataFrame) -> DataFrame:
     )
     alone = F.array(F.struct(F.lit(-1).alias("b1"), F.lit(-1).alias("p1"), F.lit(-1).alias("b2"), F.lit(-1).alias("p2"), F.lit(False).alias("second")))
     pairs = F.when(F.col("own") < 0, alone).otherwise(F.concat(same, blocks(band + 1, False), blocks(band - 1, True)))
-    dealt = placed.select("cluster", "node", "set", F.explode(pairs).alias("pair")).select("cluster", "pair.b1", "pair.p1", "pair.b2", "pair.p2", "pair.second", "node", "set")
+    return placed.select("cluster", "node", "set", F.explode(pairs).alias("pair")).select("cluster", "pair.b1", "pair.p1", "pair.b2", "pair.p2", "pair.second", "node", "set")
+
+
+def verified(members: DataFrame) -> DataFrame:
+    """(a, b): links that connect the members (cluster, node, set) of each cluster as all their links do."""
 
     def check(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(s, dtype=np.int64).view(U64) for s in frame["set"]]
@@ -191,7 +197,7 @@ def verified(members: DataFrame) -> DataFrame:
         linked = links_between([sets[k] for k in left], [sets[k] for k in right])
         return pd.DataFrame(forest(linked, nodes[left], nodes[right]), columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("cluster", "b1", "p1", "b2", "p2").applyInPandas(check, "a long, b long")
+    return dealt(members).groupBy("cluster", "b1", "p1", "b2", "p2").applyInPandas(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -63,6 +63,16 @@ def test_near_duplicates_like_brute_force(documents, monkeypatch):
         assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_blocks_are_bounded_by_members(spark, documents, monkeypatch):
+    members = spark.range(6000).select(F.lit(1).cast("long").alias("cluster"), F.col("id").alias("node"), F.array("id", F.lit(-1).cast("long")).alias("set"))
+    tasks = minhash.dealt(members).groupBy("cluster", "b1", "p1", "b2", "p2").count().collect()
+    assert len(tasks) == 6 and max(t["count"] for t in tasks) < 4500  # two blocks of about 2,000
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 5)
+    rows = list(enumerate(near_copies(3, 20, 12, 1) + near_copies(1, 40, 80, 4)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_near_duplicate_odd_rows(documents, odd_rows):
     got = minhash.near_duplicates(documents(odd_rows).withColumn("component_id", F.lit("x"))).collect()
     assert len(got) == len(odd_rows)
