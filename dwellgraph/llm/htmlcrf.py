@@ -5,7 +5,8 @@ features of its ancestors and of its text; neighbouring labels depend on each ot
 by `layouts` from common page designs with words of the given pages' own texts (at most TRAINING_PAGES of them); pages are decoded by Viterbi.
 
 Defined cases: null or empty html gives an empty text; scripts, styles, comments and other content that is never shown are dropped before blocks are
-made; unclosed and stray tags are tolerated, an unclosed comment or script runs to the end; pages of any length are decoded whole; repeated rows
+made; unclosed and stray tags are tolerated, an unclosed comment, script or style runs to the end,
+while other hidden elements drop what is up to their own end tag, or nothing if they have none or are self-closed; pages of any length are decoded whole; repeated rows
 give repeated results; other columns are ignored.
 """
 
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from .batches import slices, texts_of
 
 # Fixed values of HTML: elements by how they are shown.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video")
+RAW = ("script", "style")
+HIDDEN = ("noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data dfn em font i img input ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
@@ -33,10 +35,12 @@ CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 CONTAINERS = frozenset("ul ol dl table div article section main aside nav header footer form body".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<hidden>" + "|".join(HIDDEN) + r")\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[a-z][a-z0-9:-]*)[^>]*>",
     re.S | re.I,
 )
+HAS_HIDDEN = re.compile("<(?:" + "|".join(HIDDEN) + r")(?=[\s/>])", re.I)
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 TRAINING_PAGES = 400
@@ -51,6 +55,24 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
+def hidden_parts(page: str) -> dict[int, int]:
+    """Begin and end of the HIDDEN elements that have an end tag of their own."""
+    out: dict[int, int] = {}
+    if not HAS_HIDDEN.search(page):
+        return out
+    begun: dict[str, list[int]] = {name: [] for name in HIDDEN}
+    for m in TOKEN.finditer(page):
+        opened = begun.get((m["tag"] or m["tag2"] or "").lower())
+        if opened is None:
+            continue
+        if not (m["close"] or m["close2"]):
+            if not SELF_CLOSED.search(m["attrs"] or ""):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order, with character references decoded and white space folded."""
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -66,12 +88,15 @@ def blocks_of(page: str) -> list[Block]:
             held.clear()
 
     at = 0
+    hidden = hidden_parts(page)
     for m in TOKEN.finditer(page):
+        if m.start() < at:
+            continue  # inside a hidden element
         if m.start() > at:
             held.append((page[at : m.start()], links > 0))
-        at = m.end()
+        at = hidden.get(m.start(), m.end())
         tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:
+        if not tag or tag in HIDDEN:
             continue
         closing = bool(m["close"] or m["close2"])
         if tag in INLINE:

@@ -215,6 +215,15 @@ def test_html_layouts_and_pages():
         htmlcrf.main_text(odd, model)
 
 
+def test_hidden_elements_end_where_they_end():
+    text = lambda page: " ".join(b.text for b in htmlcrf.blocks_of(page))
+    for tag in ("<svg width='1' />", "<video src=x />", "<object data=a>", "<video-player></video-player>", "<template-card>", "<canvas>", "<script-list>", "</svg>"):
+        assert text(f"<p>one</p>{tag}<p>two</p><p>three</p>") == "one two three", tag
+    assert text("<p>one <svg><title>no</title><svg>no</svg>no</svg>two</p>") == "one two"
+    assert text("<object><p>one</p><object>no</object><video>no</video><p>two</p>") == "one two"
+    assert text("<p>one</p><script>no<p>no") == "one" and text("<style>no</style><iframe>no</iframe><noscript><p>no</p></noscript>two") == "two"
+
+
 def test_html_query(spark):
     got = queries.op9_html_text(spark, SMALL).collect()
     assert len(got) == spark.read.parquet(f"{SMALL}/pages.parquet").count()
