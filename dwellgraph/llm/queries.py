@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import bytebpe, decontam, htmlcrf, imatch, langid, minhash, records, sanitize, toxicity, urlfilter
+from . import bytebpe, decontam, htmlcrf, imatch, langid, merkle, minhash, mixing, records, sanitize, toxicity, turns, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,32 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         _hex(sanitize.span_text(F.col("base")).cast("binary")).alias("base_sha256"), sanitize.span_text(F.array_sort(F.concat("base", "terms"))).alias("spans"),
     )
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and witness of every document, and whether a text that was tampered with still leads to the root."""
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf = fields(F.col("text"))
+    tampered = F.when(langid.remainder(F.col("doc_id"), 3) == 0, fields(lowered)).otherwise(leaf)
+    proved = merkle.manifest(docs.select("doc_id", "lang", leaf.alias("leaf"), tampered.alias("tampered")), "lang", ["doc_id"], "leaf")
+    proved = proved.withColumn("folded_root", merkle.fold(F.col("tampered"), F.col("witness")))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", _hex(merkle.siblings(F.col("witness")).cast("binary")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by rule and repaired by the cheapest edits."""
+    given = table(spark, sf_dir, "conversations")
+    return turns.audited(given, turns.damaged(given))
+
+
+@query
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix with weighted sources takes."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
