@@ -37,3 +37,5 @@ MEETING_THRESHOLDS = (7.0, 10.0, 24.0)
 HOT_ROWS = 5_000_000
 # Largest table, in rows, that is ever broadcast by an explicit hint.
 BROADCAST_ROWS = 1_000_000
+# And in bytes, about.
+BROADCAST_BYTES = 64 << 20

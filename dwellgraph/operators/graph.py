@@ -11,11 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..defaults import EDGE_THRESHOLDS, HOT_ROWS
 from ..session import cut
 from .ordered import per_key
+from .triangles import triangles
 
 
-# Higher neighbours of a corner whose pairs are formed in one task.
-CORNER_BLOCK = 1024
-
 
 def graph_key(g: DataFrame, *cols: str) -> list[str]:
     return [*(["graph"] if "graph" in g.columns else []), *cols]
@@ -137,9 +135,9 @@ def adjacency(g: DataFrame, block: int = 1024, hot_rows: int | None = HOT_ROWS)
 def closing_edges(g: DataFrame) -> DataFrame:
     """Directed edges src -> dst with the neighbours nbr of dst that have an edge back to src.
 
-    Every triangle of the underlying undirected graph is found once, from its corner of lowest degree:
-    pairs of neighbours are formed only among neighbours of higher degree, of which no node of a graph
-    with m edges has more than sqrt(2 m), however many neighbours it has in all.
+    Edges are oriented towards the end of higher degree, so no node of a graph with m edges has more than
+    sqrt(2 m) of them, however many neighbours it has in all, and every triangle of the underlying undirected
+    graph is found once, in the cell of its corners.
     """
     key = graph_key(g)
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
@@ -158,22 +156,11 @@ def closing_edges(g: DataFrame) -> DataFrame:
     arcs = cut(ranked.select(
         *key,
         F.when(forward, F.col("u")).otherwise(F.col("v")).alias("lo"),
-        F.when(forward, F.struct(F.col("_v").alias("d"), F.col("v").alias("hi")))
-        .otherwise(F.struct(F.col("_u").alias("d"), F.col("u").alias("hi"))).alias("hi"),
+        F.when(forward, F.col("v")).otherwise(F.col("u")).alias("hi"),
         F.when(forward, F.col("uv")).otherwise(F.col("vu")).alias("out"),
         F.when(forward, F.col("vu")).otherwise(F.col("uv")).alias("back"),
     ))
-    # The pairs of a corner with many higher neighbours are dealt to several tasks, by their first side.
-    parts = arcs.groupBy(*key, "lo").agg(F.ceil(F.count(F.lit(1)) / CORNER_BLOCK).cast("int").alias("_parts"))
-    arcs_ = arcs.join(parts, [*key, "lo"])
-    one = arcs_.withColumn("_part", F.pmod(F.xxhash64("hi"), F.col("_parts")).cast("int")).select(*key, "lo", "_part", F.col("hi").alias("x"), F.col("out").alias("lx"), F.col("back").alias("xl"))
-    two = arcs_.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*key, "lo", "_part", F.col("hi").alias("y"), F.col("out").alias("ly"), F.col("back").alias("yl"))
-    wedges = one.join(two, [*key, "lo", "_part"]).filter(F.col("x") < F.col("y")).select(
-        *key, "lo", F.col("x.hi").alias("x"), F.col("y.hi").alias("y"), "lx", "xl", "ly", "yl"
-    )
-    third = arcs.select(*key, F.col("lo").alias("x"), F.col("hi.hi").alias("y"), F.col("out").alias("xy"),
-                        F.col("back").alias("yx"))
-    corners = wedges.join(third, [*key, "x", "y"])
+    corners = triangles(arcs, key)
 
     def turn(src: str, dst: str, nbr: str, first: str, weight: str, closes: str) -> Column:
         exists = F.col(first).isNotNull() & F.col(weight).isNotNull() & F.col(closes).isNotNull()
@@ -223,6 +210,17 @@ def edge_transitions(g: DataFrame, p: float = 1.0, q: float = 1.0) -> DataFrame:
     return returns.unionByName(own).unionByName(near).unionByName(others)
 
 
+def near_neighbours(g: DataFrame) -> DataFrame:
+    """Edges src -> dst with the neighbours nbr of dst, other than src, that have an edge to src: src, dst, nbr, weight (of dst -> nbr)."""
+    key = graph_key(g)
+    g = cut(g.select(*key, "src", "dst", "weight"))
+    back = g.filter("src != dst").select(*key, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    # dst's own loop leads to dst, which has an edge to src exactly if the return edge exists.
+    loops = g.filter("src = dst").select(*key, "dst", F.col("dst").alias("nbr"), "weight")
+    own = g.filter("src != dst").select(*key, "src", "dst").join(back, [*key, "src", "dst"], "left_semi").join(loops, [*key, "dst"])
+    return closing_edges(g).unionByName(own).unionByName(_mutual_of_loops(g))
+
+
 def _mutual_of_loops(g: DataFrame) -> DataFrame:
     """For a self-loop src -> src: the other neighbours of src that have an edge back to it."""
     key = graph_key(g)

@@ -256,50 +256,43 @@ y AS (SELECT src, dst, mass / sum(mass) OVER (PARTITION BY src, dst) AS prob FRO
 SELECT src, dst, count(*) AS n, round(sum(prob * prob), 10) AS squares, round(max(prob), 10) AS largest FROM y GROUP BY src, dst"""
 
 
-def _u(purpose: str, seed: int, more: str = "") -> str:
-    key = f"concat_ws('|', '{seed}', w.graph, w.start, w.walk, w.step, w.try, '{purpose}'{more})"
+def _u(seed: int) -> str:
+    key = f"concat_ws('|', '{seed}', w.graph, w.start, w.walk, w.step, 0, 'move')"
     return f"(('0x' || substr(md5({key}), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
 
 
 def _walks(num: int, length: int, p: float = 1.0, q: float = 1.0, seed: int = 7) -> str:
-    """Over graphs gs(graph, src, dst, weight)."""
-    limit = max(1.0, 1 / q)
-    keep, ret, race, raced = "true", "false", "", "NULL::BIGINT"
-    if p != 1 or q != 1:
-        race = f"""
-race AS MATERIALIZED (SELECT e.graph, e.src AS prev, e.dst AS cur, n.dst,
-           n.share * CASE WHEN n.dst = e.src THEN {1 / p}::DOUBLE WHEN k.src IS NOT NULL THEN 1.0::DOUBLE ELSE {1 / q}::DOUBLE END AS rate
-         FROM gs e JOIN n2 n ON n.graph = e.graph AND n.src = e.dst LEFT JOIN gs k ON k.graph = e.graph AND k.src = n.dst AND k.dst = e.src),"""
-        raced = f"""CASE WHEN w.try >= 4 THEN (SELECT arg_min(r.dst, -ln({_u('race', seed, ", r.dst")} + 1.1102230246251565e-16::DOUBLE) / r.rate)
-                 FROM race r WHERE r.graph = w.graph AND r.prev = w.prev AND r.cur = w.cur) END"""
-        keep = (f"(d.prev IS NULL OR d.ret OR d.raced IS NOT NULL OR d.next_share = 1 OR d.u2 * {limit}::DOUBLE < CASE WHEN d.next = d.prev THEN {min(1 / p, limit)}::DOUBLE "
-                f"WHEN k.src IS NOT NULL THEN 1.0::DOUBLE ELSE {1 / q}::DOUBLE END)")
-        if 1 / p > limit:
-            extra = f"(w.back * {1 / p - limit}::DOUBLE)"
-            ret = f"(w.prev IS NOT NULL AND w.raced IS NULL AND w.u3 * ({limit}::DOUBLE + {extra}) < {extra})"
-    return f"""
+    """Over graphs gs(graph, src, dst, weight). A biased step takes the neighbour at which the masses, those back first, then of common neighbours, then of
+    the others, each by id, pass the drawn part of their sum."""
+    start = f"""
+ends AS (SELECT DISTINCT graph, unnest([src, dst]) AS start FROM gs),
+w AS (
+  SELECT graph, start, r.walk, 1 AS step, NULL::BIGINT AS prev, start AS cur FROM ends, (SELECT unnest(range({num})) AS walk) r
+  UNION ALL"""
+    end = """)
+SELECT graph, start, walk, string_agg(cur::VARCHAR, ' ' ORDER BY step) AS path FROM w GROUP BY graph, start, walk"""
+    if p == 1 and q == 1:
+        return f"""
 n1 AS (SELECT *, sum(weight) OVER (PARTITION BY graph, src ORDER BY dst ROWS UNBOUNDED PRECEDING) AS cum,
        sum(weight) OVER (PARTITION BY graph, src) AS total,
        row_number() OVER (PARTITION BY graph, src ORDER BY dst DESC) AS from_last FROM gs),
-n2 AS (SELECT graph, src, dst, weight / total AS share, CASE WHEN from_last = 1 THEN 1.0::DOUBLE ELSE cum / total END AS hi FROM n1),
-n3 AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY graph, src ORDER BY dst), 0.0) AS lo FROM n2),
-nb AS (SELECT n3.*, coalesce(r.share, 0.0) AS back FROM n3 LEFT JOIN n2 r ON r.graph = n3.graph AND r.src = n3.dst AND r.dst = n3.src),
-ends AS (SELECT DISTINCT graph, unnest([src, dst]) AS start FROM gs),{race}
-w AS (
-  SELECT graph, start, r.walk, 1 AS step, 0 AS try, NULL::BIGINT AS prev, start AS cur, true AS moved,
-         0.0::DOUBLE AS there, 0.0::DOUBLE AS back
-  FROM ends, (SELECT unnest(range({num})) AS walk) r
-  UNION ALL
-  SELECT d.graph, d.start, d.walk, CASE WHEN {keep} THEN d.step + 1 ELSE d.step END, CASE WHEN {keep} THEN 0 ELSE d.try + 1 END,
-         CASE WHEN {keep} THEN d.cur ELSE d.prev END,
-         CASE WHEN d.ret THEN d.prev WHEN {keep} THEN d.next ELSE d.cur END, {keep},
-         CASE WHEN d.ret THEN d.back WHEN {keep} THEN d.next_share ELSE d.there END,
-         CASE WHEN d.ret THEN d.there WHEN {keep} THEN d.next_back ELSE d.back END
-  FROM (SELECT w.*, nb.dst AS next, nb.share AS next_share, nb.back AS next_back, {ret} AS ret
-        FROM (SELECT w.*, {_u('move', seed)} AS u, {_u('keep', seed)} AS u2, {_u('back', seed)} AS u3, {raced} AS raced FROM w WHERE w.step < {length}) w
-        JOIN nb ON nb.graph = w.graph AND nb.src = w.cur AND CASE WHEN w.raced IS NULL THEN nb.lo <= w.u AND w.u < nb.hi ELSE nb.dst = w.raced END) d
-  LEFT JOIN gs k ON k.graph = d.graph AND k.src = d.next AND k.dst = d.prev)
-SELECT graph, start, walk, string_agg(cur::VARCHAR, ' ' ORDER BY step) AS path FROM w WHERE moved GROUP BY graph, start, walk"""
+n2 AS (SELECT graph, src, dst, CASE WHEN from_last = 1 THEN 1.0::DOUBLE ELSE cum / total END AS hi FROM n1),
+n3 AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY graph, src ORDER BY dst), 0.0) AS lo FROM n2),{start}
+  SELECT w.graph, w.start, w.walk, w.step + 1, w.cur, n3.dst
+  FROM (SELECT w.*, {_u(seed)} AS u FROM w WHERE w.step < {length}) w
+  JOIN n3 ON n3.graph = w.graph AND n3.src = w.cur AND n3.lo <= w.u AND w.u < n3.hi{end}"""
+    common = "k.src IS NOT NULL" if q != 1 else "false"
+    return f"""{start}
+  SELECT graph, start, walk, step + 1, cur, dst FROM (
+    SELECT *, row_number() OVER (PARTITION BY graph, start, walk ORDER BY kind, dst) AS place FROM (
+      SELECT *, sum(mass) OVER (PARTITION BY graph, start, walk ORDER BY kind, dst ROWS UNBOUNDED PRECEDING) AS cum,
+        sum(mass) OVER (PARTITION BY graph, start, walk) AS total, row_number() OVER (PARTITION BY graph, start, walk ORDER BY kind DESC, dst DESC) AS from_last FROM (
+        SELECT w.*, n.dst, CASE WHEN w.prev IS NULL THEN 2 WHEN n.dst = w.prev THEN 0 WHEN {common} THEN 1 ELSE 2 END AS kind,
+          n.weight * CASE WHEN w.prev IS NULL THEN 1.0::DOUBLE WHEN n.dst = w.prev THEN {1 / p}::DOUBLE WHEN {common} THEN 1.0::DOUBLE ELSE {1 / q}::DOUBLE END AS mass
+        FROM (SELECT w.*, {_u(seed)} AS u FROM w WHERE w.step < {length}) w JOIN gs n ON n.graph = w.graph AND n.src = w.cur
+        LEFT JOIN gs k ON k.graph = w.graph AND k.src = n.dst AND k.dst = w.prev))
+    WHERE cum > u * total OR from_last = 1)
+  WHERE place = 1{end}"""
 
 
 ONE_GRAPH = "gs AS (SELECT 0 AS graph, src, dst, weight FROM g)"
