@@ -56,8 +56,8 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_partitioned(df: DataFrame, *by: str) -> DataFrame:
     """Materialize partitioned and sorted by columns, in a way that later joins on them know and use.
 
-    df should be materialized already. A checkpoint keeps the partitioning of its plan only if that plan is not an adaptive one, so the last
-    step, a plain shuffle, is planned without adaptive execution.
+    A checkpoint keeps the partitioning of its plan only if that plan is not an adaptive one, so df is planned without adaptive execution; what
+    needs that should be materialized before.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

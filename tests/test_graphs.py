@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dwellgraph import defaults
 from dwellgraph.operators import graph as G
-from dwellgraph.operators import walks as W
+from dwellgraph.operators import triangles, walks as W
 from dwellgraph.operators.embedding import embed_walks
 from dwellgraph.plans.embedding import EmbeddingConfig, embed_graph
 
@@ -122,7 +122,7 @@ def test_every_edge_has_an_interval(spark):
 
 
 @pytest.mark.parametrize("p,q", [(0.01, 100.0), (100.0, 0.01), (100.0, 100.0), (0.01, 0.01)])
-def test_rounds_are_bounded(spark, monkeypatch, p, q):
+def test_every_cut_makes_its_steps(spark, monkeypatch, p, q):
     star = [(0, i, 1) for i in range(1, 6)]
     clique = [(100 + i, 100 + j, 1) for i in range(6) for j in range(i)]
     g = G.build_graph(edges(spark, star + clique))
@@ -130,11 +130,55 @@ def test_rounds_are_bounded(spark, monkeypatch, p, q):
     monkeypatch.setattr(W, "_walked", lambda *a, f=W._walked: (cuts.clear(), f(*a))[1])
     monkeypatch.setattr(W, "cut", lambda df, f=W.cut: (cuts.append(1), f(df))[1])
     w = W.random_walks(g, num_walks=1, walk_length=7, p=p, q=q, seed=2).collect()
-    assert all(len(r.path) == 7 for r in w) and len(cuts) <= 2 * 7 + 10  # a loop and an exact draw for each step at most
+    assert all(len(r.path) == 7 for r in w) and len(cuts) == 2
+
+
+def test_hub_walks_meet_few_rows(spark):
+    """All walkers come by a hub of 100,000 neighbours, some of which are neighbours of each other; nothing is listed walker by neighbour."""
+    leaves = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    pairs = spark.range(1, 10_001, 2).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    g = G.build_graph(leaves.unionByName(pairs)).withColumn("graph", F.lit(0))
+    placed = W.intervals(g)
+    states, rows, index = W.second_order(placed, 0.01)
+    assert states.count() == 210_000 and index.count() <= 2 * rows <= 8 * 210_000
+    fullest = index.groupBy("src", "dst", "kind", "bin").count().agg(F.max("count")).first()[0]
+    assert fullest <= 2 * W.NEIGHBOURS_PER_BIN
+    w = W.random_walks(g, num_walks=1, walk_length=3, p=1.0, q=0.01, seed=3)
+    third = w.filter("start > 0 and path[1] = 0").select("start", F.element_at("path", 3).alias("n"))
+    assert third.count() > 90_000 and third.filter("n = start").count() < 20  # 1 of 9,999,900 by mass
+
+
+def test_second_order_index_frequencies(spark):
+    """Common neighbours and others between them, with unequal weights and a dead end, against the definition."""
+    star = [(0, k, 1 + k % 3) for k in range(1, 30)]
+    e = star + [(1, k, 2) for k in range(2, 30, 3)] + [(0, 0, 2)]
+    g = G.build_graph(edges(spark, e))
+    table = {(r.src, r.dst): r.weight for r in g.collect()}
+    want = naive_second_order(table, 3.0, 0.2)
+    w = W.random_walks(g, num_walks=9000, walk_length=3, p=3.0, q=0.2, seed=6).filter("start = 1 and path[1] = 0")
+    third = {r.n: r["count"] for r in w.groupBy(F.element_at("path", 3).alias("n")).count().collect()}
+    total = sum(third.values())
+    assert total > 600 and set(third) <= {n for s, d, n in want if (s, d) == (1, 0)}
+    for (s, d, n), prob in want.items():
+        if (s, d) == (1, 0):
+            assert abs(third.get(n, 0) / total - prob) < 4 * (prob / total) ** 0.5 + 1e-3
+
+
+def test_triangles_in_cells(spark, random_edges):
+    """Small cells and repeated lists against all triples; directions that are missing stay null."""
+    rnd = random.Random(7)
+    pairs = {tuple(sorted((rnd.randrange(40), rnd.randrange(40)))) for _ in range(300)}
+    pairs = {(a, b): (float(a + 1), None if b % 3 == 0 else float(b)) for a, b in pairs if a < b}
+    arcs = spark.createDataFrame([(5, a, b, *w) for (a, b), w in pairs.items()], "graph int, lo long, hi long, out double, back double")
+    want = sorted((5, a, b, c, *pairs[a, b], *pairs[a, c], *pairs[b, c]) for a, b in pairs for c in range(b + 1, 40) if (a, c) in pairs and (b, c) in pairs)
+    for size in (5, 60, 10_000):
+        got = triangles.triangles(arcs, ["graph"], size).collect()
+        assert sorted(tuple(r) for r in got) == want
+    assert triangles.triangles(arcs.limit(0), ["graph"]).count() == 0
 
 
 def test_exact_draw_frequencies(spark):
-    """The same step by rejection and, with p and q that reject nearly all, by races."""
+    """Steps with strong biases."""
     g = G.build_graph(edges(spark, [(0, 1, 1), (0, 2, 2), (0, 3, 5), (1, 2, 1)]))
     w = W.random_walks(g, num_walks=4000, walk_length=3, p=50.0, q=0.02, seed=3).filter("start = 1 and path[1] = 2")
     third = {r.n: r["count"] for r in w.groupBy(F.element_at("path", 3).alias("n")).count().collect()}
