@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import HOT_ROWS, PINGPONG_GAP_S
 from ..functions.clock import seconds_between
@@ -12,6 +12,7 @@ from .stays import STAY_COLUMNS, STAY_ORDER, USER, segments, slice_of
 
 # Distinct cells of one group that are compared within one task.
 CELLS_PER_TASK = 512
+TIE_DIGITS = 9
 
 
 def station_scores(df: DataFrame, gap_s: int = PINGPONG_GAP_S, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -30,7 +31,7 @@ def scored(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S) -> DataFrame:
         x = x.withColumn("_slice", F.lit(0))
     else:
         x = o.running(x, STAY_ORDER, sums={"_pos": F.lit(1)}).filter("_repeats")
-        x = _units(x, o).select(*o.keys, "_group", F.explode(_stations("_cells")).alias("_s")).select(*o.keys, "_group", "_s.*")
+        x = _stations(_units(x, o), o).select(*o.keys, "_group", "score", "_seen", "cid", "lon", "lat", "freq").withColumnRenamed("_seen", "seen")
     return x.withColumnRenamed("_group", "group_id").drop("seen")
 
 
@@ -66,13 +67,11 @@ def _scores(x: DataFrame, o: Whole) -> DataFrame:
     )
     km = F.when(F.col("cid") != F.col("_cid"), dist_km_raw("lon", "lat", "_lon", "_lat") * F.col("_n"))
     others = F.when(F.col("cid") != F.col("_cid"), F.col("_n"))
-    mean = F.col("_km") / F.nullif(F.col("_others"), F.lit(0))
-    score = F.when(mean == 0, F.lit(float("inf"))).otherwise(F.col("freq") / F.nullif(mean, F.lit(0.0)))
     return (
         left.join(right, [*group, "_part"])
         .groupBy(*group, "cid", "lon", "lat", "freq", "_seen")
         .agg(F.sum(km).alias("_km"), F.sum(others).alias("_others"))
-        .withColumn("score", score)
+        .withColumn("score", _score())
         .drop("_km", "_others")
     )
 
@@ -94,23 +93,31 @@ def _units(x: DataFrame, o: Whole) -> DataFrame:
     )
 
 
-def _stations(cells: str):
-    """Scores of the cells of one group, from its distinct places."""
-    def total(array, value, zero):
-        return F.aggregate(array, zero, lambda acc, c: acc + value(c))
+def _stations(units: DataFrame, o: Whole) -> DataFrame:
+    """A row for every cell of a unit with its score, from pairs of the unit's distinct places. The pairs are rows that no exchange moves: they are
+    made, measured and summed in one compiled stage."""
+    unit = [*o.keys, "_group", "_unit", "_from", "_to"]
+    place = [F.col(f"_s.{c}").alias(c) for c in ("cid", "lon", "lat")]
+    x = units.select(*unit, "_cells", F.explode("_cells").alias("_s")).select(*unit, F.col("_s.pos").alias("_seen"), *place, F.explode("_cells").alias("_c"))
+    own = F.col("_c.cid") == F.col("cid")
+    km = F.when(~own, dist_km_raw("lon", "lat", "_c.lon", "_c.lat") * F.col("_c.n"))
+    x = x.groupBy(*unit, "_seen", "cid", "lon", "lat").agg(
+        F.sum(F.when(own, F.col("_c.n"))).alias("freq"), F.sum(km).alias("_km"), F.sum(F.when(~own, F.col("_c.n"))).alias("_others"),
+        F.min(F.when(own, F.col("_c.pos"))).alias("_first"),
+    )
+    # A cell with several positions counts at that of its first stay.
+    return x.filter("_seen = _first").withColumn("score", _score()).drop("_first", "_km", "_others")
+
+
+def _score() -> Column:
+    mean = F.col("_km") / F.nullif(F.col("_others"), F.lit(0))
+    return F.when(mean == 0, F.lit(float("inf"))).otherwise(F.col("freq") / F.nullif(mean, F.lit(0.0)))
 
-    def station(s):
-        freq = total(F.filter(cells, lambda c: c["cid"] == s["cid"]), lambda c: c["n"], F.lit(0).cast("long"))
-        others = F.filter(cells, lambda c: c["cid"] != s["cid"])
-        km = total(others, lambda c: dist_km_raw(s["lon"], s["lat"], c["lon"], c["lat"]) * c["n"], F.lit(0.0))
-        mean = km / F.nullif(total(others, lambda c: c["n"], F.lit(0).cast("long")), F.lit(0))
-        score = F.when(mean == 0, F.lit(float("inf"))).otherwise(freq / F.nullif(mean, F.lit(0.0)))
-        return F.struct(score.alias("score"), s["pos"].alias("seen"), s["cid"].alias("cid"), s["lon"].alias("lon"),
-                        s["lat"].alias("lat"), freq.alias("freq"))
 
-    names = F.transform(cells, lambda c: c["cid"])
-    first = F.filter(cells, lambda c, i: F.array_position(names, c["cid"]) == i + 1)
-    return F.transform(first, station)
+def _rank() -> Column:
+    """The highest score first, and before it none. Scores are sums of many distances, whose last digits depend on the order of summing; at TIE_DIGITS they do not,
+    and equal ones are told apart by the first stay."""
+    return (-F.round("score", TIE_DIGITS)).alias("rank")
 
 
 def collapsed(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S, compat: bool = True) -> DataFrame:
@@ -119,7 +126,7 @@ def collapsed(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S, compat: bool
         x = o.totals(x, [], sums={"_rows": F.lit(1)}).filter("_rows > 1").drop("_rows")
     x = o.settle(o.running(x, STAY_ORDER, sums={"_pos": F.lit(1)}))
     group = [*o.keys, "_group"]
-    rank = (-F.col("score")).alias("rank")
+    rank = _rank()
     if o.sliced:
         # A group may be of any size: its distinct cells are compared by a join.
         best = _scores(x.filter("_repeats"), o).groupBy(*group).agg(F.min(F.struct(rank, "_seen", "cid", "lon", "lat")).alias("_best"))
@@ -132,14 +139,9 @@ def collapsed(df: DataFrame, o: Whole, gap_s: int = PINGPONG_GAP_S, compat: bool
         chosen = F.when(F.col("_best").isNull(), F.struct("_from.cid", "_from.lon", "_from.lat")).otherwise(
             F.struct("_best.cid", "_best.lon", "_best.lat"))
     else:
-        out = _units(x, o)
-        ranked = F.transform(_stations("_cells"), lambda s: F.struct(
-            (-s["score"]).alias("rank"), s["seen"].alias("seen"), s["cid"].alias("cid"), s["lon"].alias("lon"), s["lat"].alias("lat")))
-        # A column of its own, so that the cells of a group are compared once and not for each field.
-        out = out.withColumn("_best", F.when(F.col("_unit") == 0, F.array_min(ranked)))
-        best, only = F.col("_best"), F.col("_cells")[0]
-        chosen = F.when(F.col("_unit") == 0, F.struct(best["cid"].alias("cid"), best["lon"].alias("lon"), best["lat"].alias("lat"))).otherwise(
-            F.struct(only["cid"].alias("cid"), only["lon"].alias("lon"), only["lat"].alias("lat")))
+        best = F.min(F.struct(rank, "_seen", "cid", "lon", "lat"))
+        out = _stations(_units(x, o), o).groupBy(*group, "_unit", "_from", "_to").agg(best.alias("_best"))
+        chosen = F.struct("_best.cid", "_best.lon", "_best.lat")
     out = out.withColumn("_chosen", chosen).withColumns({
         "cid": F.col("_chosen.cid"), "lon": F.col("_chosen.lon"), "lat": F.col("_chosen.lat"),
         "start_ts": F.col("_from.start_ts"), "end_ts": F.col("_to.end_ts"),

@@ -152,7 +152,7 @@ def _scores(src: str = "stays", p: str = "pp") -> list[str]:
 def _pingpong(src: str = "stays", out: str = "steady", p: str = "pp") -> list[str]:
     return _scores(src, p) + [
         f"""{p}_best AS (
-  SELECT *, row_number() OVER (PARTITION BY "user", seg_id ORDER BY score DESC NULLS FIRST, seen) AS k FROM {p}_score)""",
+  SELECT *, row_number() OVER (PARTITION BY "user", seg_id ORDER BY round(score, 9) DESC NULLS FIRST, seen) AS k FROM {p}_score)""",
         f'{p}_users AS (SELECT "user" FROM {src} GROUP BY "user" HAVING count(*) > 1)',
         f"""{out} AS (
   SELECT g."user", g.cid, g.lon, g.lat, g.start_s, g.end_s, g.stay_s FROM {p}_g g
