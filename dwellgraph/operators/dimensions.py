@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+NEIGHBOURS = "nbrs"
+
 
 def filter_users(df: DataFrame, users: DataFrame) -> DataFrame:
     """Keep the records of listed users."""
@@ -21,6 +23,12 @@ def canonicalize_cells(df: DataFrame, alias: DataFrame) -> DataFrame:
 
 
 def locate_cells(df: DataFrame, cells: DataFrame) -> DataFrame:
-    """Attach lon and lat; records of cells without a position are dropped."""
-    placed = cells.select("cid", "lon", "lat").filter("lon IS NOT NULL AND lat IS NOT NULL")
+    """Attach lon and lat, and the neighbours that the cells may have; records of cells without a position are dropped."""
+    placed = cells.select("cid", "lon", "lat", *[NEIGHBOURS] * (NEIGHBOURS in cells.columns)).filter("lon IS NOT NULL AND lat IS NOT NULL")
     return df.join(placed, "cid")
+
+
+def with_neighbours(df: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """Rows with the set of cells that the directional adjacency table lists for theirs, as a column `nbrs` that goes along with them; null if it lists none."""
+    sets = adjacency.groupBy("cid").agg(F.collect_set("nbr_cid").alias(NEIGHBOURS))
+    return df.drop(NEIGHBOURS).join(sets, "cid", "left").select(*[c for c in df.columns if c != NEIGHBOURS], NEIGHBOURS)

@@ -13,36 +13,23 @@ from pyspark.sql import DataFrame, functions as F
 from .. import defaults as D
 from ..functions.clock import seconds_between
 from ..functions.geo import dist_km_4, speed_ms
+from .dimensions import NEIGHBOURS, with_neighbours
 from .ordered import Whole, per_key
 from .stays import STAY_COLUMNS, STAY_ORDER, USER, flag, segments, slice_of
 
 STEP_BY_TWO = ("tail", "bounce", "cut", "skip")
 
 
-def mark_adjacent(df: DataFrame, adjacency: DataFrame | None, cid: str, nbr_cid: str, name: str) -> DataFrame:
-    """Flag the rows whose (cid, nbr_cid) pair is listed in the directional adjacency table."""
-    if adjacency is None:
-        return df.withColumn(name, F.lit(False))
-    listed = adjacency.select(
-        F.col("cid").alias("_a"), F.col("nbr_cid").alias("_b"), F.lit(True).alias("_hit")
-    ).distinct()
-    # Counted first. A list of neighbour pairs is small; beyond the bound the stays have to leave their users' partitions for this join.
-    if adjacency.count() <= D.BROADCAST_ROWS:
-        listed = F.broadcast(listed)
-    joined = df.join(listed, (F.col(cid) == F.col("_a")) & (F.col(nbr_cid) == F.col("_b")), "left")
-    return joined.withColumn(name, F.col("_hit").isNotNull()).drop("_a", "_b", "_hit")
-
-
 def remove_drift(df: DataFrame, adjacency: DataFrame | None = None, *, hot_rows: int | None = D.HOT_ROWS, **options) -> DataFrame:
     """Stays without the drifting ones; options as in ``without_drift``."""
-    return per_key(df, USER, STAY_ORDER, lambda d, o: without_drift(d, o, adjacency=adjacency, **options), hot_rows)
+    df = df if adjacency is None else with_neighbours(df, adjacency)
+    return per_key(df, USER, STAY_ORDER, lambda d, o: without_drift(d, o, **options), hot_rows)
 
 
 def without_drift(
     df: DataFrame,
     o: Whole,
     *,
-    adjacency: DataFrame | None = None,
     gap_s: int = D.DRIFT_GAP_S,
     far_km: float = D.DRIFT_FAR_KM,
     max_speed: float = D.DRIFT_SPEED_MS,
@@ -56,16 +43,16 @@ def without_drift(
 ) -> DataFrame:
     """Drop drifting stays from segments of stays less than gap_s apart.
 
-    isolated_rule switches on the isolated-point rule, which never fires by default; true_share compares
+    A stay next to one whose cell lists its cell in `nbrs` (a column the stays may have) is not far. isolated_rule switches on the isolated-point rule, which never fires by default; true_share compares
     the real share of a cluster in its segment, which counts as 0 by default.
     """
     x = o.running(segments(df, o, gap_s), STAY_ORDER, sums={"_pos": F.lit(1)})
-    # Equal stays keep their order across a join only by position.
-    order = STAY_ORDER if adjacency is None else ["_pos"]
+    order = STAY_ORDER
     if true_share:
         order = ["_pos"]
         x = o.totals(x, ["seg_id"], sums={"_size": F.lit(1)})
-    here = F.struct("cid", "lon", "lat", "start_ts", "end_ts", "seg_id")
+    listed = NEIGHBOURS in df.columns
+    here = F.struct("cid", "lon", "lat", "start_ts", "end_ts", "seg_id", *[NEIGHBOURS] * listed)
     x = o.neighbours(x, order, prev={"_p": "seg_id"}, next={"_n": here})
     x = o.neighbours(x, order, prev={"_pp": "_p"}, next={"_nn": "_n"})
 
@@ -80,7 +67,7 @@ def without_drift(
         "_d12": dist_km_4("_n.lon", "_n.lat", "_nn.lon", "_nn.lat"),
         "_d02": dist_km_4("_nn.lon", "_nn.lat", "lon", "lat"),
     })
-    x = mark_adjacent(x.withColumn("_n_cid", F.col("_n.cid")), adjacency, "_n_cid", "cid", "_adjacent")
+    x = x.withColumn("_adjacent", F.coalesce(F.array_contains(f"_n.{NEIGHBOURS}", F.col("cid")), F.lit(False)) if listed else F.lit(False))
     x = x.withColumn("_move", _move(far_km, max_speed, point_ratio, cluster_ratio, isolated_rule))
     size = ["_size"] if true_share else []
     x = x.select("_pos", "_has_p", "_long", "_move", "seg_id", *size, *STAY_COLUMNS, *slice_of(x, o))

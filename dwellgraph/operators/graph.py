@@ -6,7 +6,7 @@ A graph is a frame (src, dst, weight), undirected ones with both directions; an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..defaults import EDGE_THRESHOLDS, HOT_ROWS
 from ..session import cut
@@ -66,47 +66,34 @@ def threshold_graphs(g: DataFrame, thresholds=EDGE_THRESHOLDS) -> DataFrame:
     return g.select(F.explode(kept).alias("_t"), "src", "dst", "weight").select("_t.graph", "src", "dst", "weight")
 
 
-def weight_thresholds(edges: DataFrame, probabilities=(0.25, 0.5, 0.75), rows_at_once: int = 10_000) -> DataFrame:
+def weight_thresholds(edges: DataFrame, probabilities=(0.25, 0.5, 0.75)) -> DataFrame:
     """Exact quantiles of the weights, interpolated: probability, weight.
 
-    Equal weights are counted first. The value range is then narrowed around each wanted rank by histograms,
-    until few enough distinct weights are left to look at; no task ever sees all of them.
+    Equal weights are counted first. The distinct ones are range-partitioned, and one row for each partition carries how many weights lie before it; all
+    wanted ranks are then looked up at once, each in the partition that holds it. No task sees all weights, and the number of jobs does not depend on
+    the number of quantiles. Null weights do not count; -inf comes first, then inf and NaN last, and between two different non-finite neighbours the upper
+    one is taken. Without weights there is no row.
     """
-    counts = cut(edges.groupBy("weight").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0]
-    spark = edges.sparkSession
-    if not total:
-        return spark.createDataFrame([], "probability double, weight double")
-    found = []
-    for p in probabilities:
-        at = (total - 1) * p
-        low, high = int(at), min(int(at) + 1, total - 1)
-        a = _weight_at(counts, low, rows_at_once)
-        b = a if high == low else _weight_at(counts, high, rows_at_once)
-        found.append((float(p), a + (b - a) * (at - low)))
-    return spark.createDataFrame(found, "probability double, weight double")
-
-
-def _weight_at(counts: DataFrame, rank: int, rows_at_once: int) -> float:
-    """The weight at a rank (from 0) of the sorted multiset."""
-    part, before = counts, 0
-    while True:
-        lo, hi, distinct = part.agg(F.min("weight"), F.max("weight"), F.count(F.lit(1))).first()
-        if lo == hi:
-            return lo
-        if distinct <= rows_at_once:
-            bins = [(r["weight"], r["n"]) for r in part.orderBy("weight").toLocalIterator()]
-            for value, n in bins:
-                before += n
-                if before > rank:
-                    return value
-        width = (hi - lo) / 1000
-        slot = F.least(F.floor((F.col("weight") - lo) / width), F.lit(999))
-        for number, n in part.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).orderBy("slot").collect():
-            if before + n > rank:
-                break
-            before += n
-        part = part.filter(slot == number)
+    counts = edges.filter("weight IS NOT NULL").groupBy("weight").agg(F.count(F.lit(1)).alias("_c"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(counts.repartitionByRange(parts, "weight").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    pieces = placed.groupBy("_part").agg(F.sum("_c").alias("_rows")).withColumns(
+        {"_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_all": F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    here = Window.partitionBy("_part").orderBy("weight").rowsBetween(Window.unboundedPreceding, 0)
+    x = placed.join(pieces, "_part").withColumn("_end", F.col("_before") + F.sum("_c").over(here))
+
+    def wanted(p):
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        held = lambda rank: (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end"))
+        return F.struct(F.lit(float(p)).alias("p"), at.alias("at"), held(F.floor(at)).alias("low"), held(F.ceil(at)).alias("high"))
+
+    hits = F.filter(F.array(*[wanted(p) for p in probabilities]), lambda w: w["low"] | w["high"])
+    x = x.select("weight", F.explode(hits).alias("_w")).groupBy(F.col("_w.p").alias("probability"), F.col("_w.at").alias("_at")).agg(
+        F.max(F.when(F.col("_w.low"), F.col("weight"))).alias("_a"), F.max(F.when(F.col("_w.high"), F.col("weight"))).alias("_b"))
+    plain = F.abs("_a").cast("string").isin("Infinity", "NaN") | F.abs("_b").cast("string").isin("Infinity", "NaN")
+    between = F.when((F.col("_a") == F.col("_b")) | plain, F.col("_b")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at")))
+    return x.select("probability", between.alias("weight"))
 
 
 def node_transitions(g: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..defaults import HOT_ROWS, MERGE_GAP_S, RESIDENCE_KM, RESIDENCE_MIN_S, STAY_GAP_S
 from ..functions.clock import seconds_between
 from ..functions.geo import dist_km_raw
+from .dimensions import NEIGHBOURS
 from .ordered import ROW, SLICE, Whole, per_key
 
 USER = ["user"]
@@ -54,13 +55,14 @@ def runs(df: DataFrame, o: Whole, max_gap_s: int = STAY_GAP_S, keep_last: bool =
     x = o.neighbours(df, RECORD_ORDER, prev={"_cid": "cid", "_ts": "ts"})
     starts = F.col("_ts").isNull() | (F.col("cid") != F.col("_cid")) | (seconds_between("_ts", "ts") >= max_gap_s)
     x = o.running(x, RECORD_ORDER, sums={"_run": flag(starts)})
+    own = [NEIGHBOURS] * (NEIGHBOURS in df.columns)  # the neighbours of the cell go along
     x = x.groupBy(*o.keys, "_run", "cid").agg(
-        F.min(F.struct("ts", "lon", "lat")).alias("_from"), F.max("ts").alias("end_ts"), *o.slice_columns()
+        F.min(F.struct("ts", "lon", "lat")).alias("_from"), F.max("ts").alias("end_ts"), *[F.first(c).alias(c) for c in own], *o.slice_columns()
     )
     if not keep_last:
         x = o.neighbours(x, ["_run"], next={"_later": "_run"}).filter(F.col("_later").isNotNull())
     x = x.withColumns({"start_ts": F.col("_from.ts"), "lon": F.col("_from.lon"), "lat": F.col("_from.lat")})
-    return _stays(x, o)
+    return _stays(x, o, *own)
 
 
 def _stays(x: DataFrame, o: Whole, *more: str) -> DataFrame:

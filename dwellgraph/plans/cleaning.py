@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from .. import defaults as D
-from ..operators.dimensions import canonicalize_cells, filter_users, locate_cells
+from ..operators.dimensions import NEIGHBOURS, canonicalize_cells, filter_users, locate_cells, with_neighbours
 from ..operators.drift import without_drift
 from ..operators.ordered import Whole, per_key
 from ..operators.pingpong import collapsed
@@ -42,13 +42,16 @@ class CleaningConfig:
     hot_rows: int | None = D.HOT_ROWS
 
 
-def locate(cdr: DataFrame, users: DataFrame | None, alias: DataFrame | None, cells: DataFrame) -> DataFrame:
-    """Records of the wanted users at canonical cells with positions."""
+def locate(cdr: DataFrame, users: DataFrame | None, alias: DataFrame | None, cells: DataFrame,
+           adjacency: DataFrame | None = None) -> DataFrame:
+    """Records of the wanted users at canonical cells with positions and, with an adjacency table, the neighbours of the cell."""
     if users is not None:
         cdr = filter_users(cdr, users)
     if alias is not None:
         cdr = canonicalize_cells(cdr, alias)
-    return locate_cells(cdr, cells).select("user", "ts", "cid", "lon", "lat")
+    # Neighbours come with the cells, so drift removal needs no join of the stays.
+    more = [] if adjacency is None else [NEIGHBOURS]
+    return locate_cells(cdr, with_neighbours(cells, adjacency) if more else cells).select("user", "ts", "cid", "lon", "lat", *more)
 
 
 def user_steps(records: DataFrame, *steps: Step, hot_rows: int | None = D.HOT_ROWS, probe: DataFrame | None = None) -> DataFrame:
@@ -67,12 +70,15 @@ def user_steps(records: DataFrame, *steps: Step, hot_rows: int | None = D.HOT_RO
 
 def clean_located(records: DataFrame, adjacency: DataFrame | None = None, cfg: CleaningConfig = CleaningConfig(),
                   probe: DataFrame | None = None) -> DataFrame:
-    """Stay runs, drift removal, ping-pong collapse and merging, with the row gates between them."""
+    """Stay runs, drift removal, ping-pong collapse and merging, with the row gates between them. Neighbours of cells come with the records (`locate`) or, joined
+    here, from an adjacency table."""
+    records = records if adjacency is None else with_neighbours(records, adjacency)
+
     def chain(d: DataFrame, o: Whole) -> DataFrame:
         d = more_than(d, o, cfg.min_records)
         d = more_than(runs(d, o, cfg.stay_gap_s, cfg.keep_last), o, cfg.min_runs)
         d = without_drift(
-            d, o, adjacency=adjacency, gap_s=cfg.drift_gap_s, far_km=cfg.far_km, max_speed=cfg.max_speed,
+            d, o, gap_s=cfg.drift_gap_s, far_km=cfg.far_km, max_speed=cfg.max_speed,
             point_ratio=cfg.point_ratio, cluster_ratio=cfg.cluster_ratio, max_share=cfg.max_share,
             cluster_s=cfg.cluster_s, min_cells=cfg.min_cells, isolated_rule=cfg.isolated_rule, true_share=cfg.true_share,
         )
@@ -86,4 +92,4 @@ def clean_located(records: DataFrame, adjacency: DataFrame | None = None, cfg: C
 def clean_traces(cdr: DataFrame, users: DataFrame | None, alias: DataFrame | None, cells: DataFrame,
                  adjacency: DataFrame | None = None, cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
     """Raw records (user, ts, cid) to merged stays: user, cid, lon, lat, start_ts, end_ts, stay_s, n_records."""
-    return clean_located(locate(cdr, users, alias, cells), adjacency, cfg, probe=cdr.select("user"))
+    return clean_located(locate(cdr, users, alias, cells, adjacency), None, cfg, probe=cdr.select("user"))

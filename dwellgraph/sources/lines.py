@@ -62,12 +62,12 @@ def parse_adjacency(lines: DataFrame) -> DataFrame:
     return rows.select("cid", F.explode(F.split("_list", ",")).alias("nbr_cid"))
 
 
-def parse_stays(lines: DataFrame, default_count: int | None = None) -> DataFrame:
-    """Eight-field stays; with default_count, seven-field lines that lack the count."""
+def parse_stays(lines: DataFrame, default_count: int | None = None, keep_empty: bool = False) -> DataFrame:
+    """Eight-field stays; with default_count, seven-field lines that lack the count. Empty fields at the end of a line do not count, so a line without
+    its last value is dropped; with keep_empty they are nulls, as in files of this library."""
     f = F.col("_f")
     count = F.lit(default_count) if default_count is not None else F.expr("try_cast(_f[7] AS DOUBLE)")
-    # Written by this library: an empty field at the end is a null.
-    return _with_fields(lines, 8 if default_count is None else 7, F.split("value", ",")).select(
+    return _with_fields(lines, 8 if default_count is None else 7, F.split("value", ",") if keep_empty else None).select(
         f[3].alias("user"), f[0].alias("cid"),
         F.expr("try_cast(_f[1] AS DOUBLE)").alias("lon"), F.expr("try_cast(_f[2] AS DOUBLE)").alias("lat"),
         parse_stamp(f[4]).alias("start_ts"), parse_stamp(f[5]).alias("end_ts"),
@@ -76,14 +76,14 @@ def parse_stays(lines: DataFrame, default_count: int | None = None) -> DataFrame
 
 
 def parse_edges(lines: DataFrame, weighted: bool = False) -> DataFrame:
-    """'src dst [weight]' separated by blanks; text after # is a comment; unweighted edges weigh 1."""
+    """'src dst [weight]' separated by blanks; text after # is a comment; unweighted edges weigh 1. Lines whose weight is no finite number are dropped."""
     bare = lines.withColumn("_f", F.split(F.trim(F.regexp_replace("value", "#.*$", "")), "\\s+"))
     weight = F.expr("try_cast(_f[2] AS DOUBLE)") if weighted else F.lit(1.0)
     rows = bare.filter(F.size("_f") >= (3 if weighted else 2))
     return rows.select(
         F.expr("try_cast(_f[0] AS BIGINT)").alias("src"), F.expr("try_cast(_f[1] AS BIGINT)").alias("dst"),
         weight.alias("weight"), *[F.col(LINE).alias("seq") for _ in _order(lines)],
-    ).dropna(subset=["src", "dst", "weight"])
+    ).dropna(subset=["src", "dst", "weight"]).filter(F.abs("weight") < float("inf"))
 
 
 def parse_locations(lines: DataFrame) -> DataFrame:
@@ -116,8 +116,8 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     return parse_adjacency(read_lines(spark, path, numbered=True))
 
 
-def read_stays(spark: SparkSession, path: str, default_count: int | None = None) -> DataFrame:
-    return parse_stays(read_lines(spark, path), default_count)
+def read_stays(spark: SparkSession, path: str, default_count: int | None = None, keep_empty: bool = False) -> DataFrame:
+    return parse_stays(read_lines(spark, path), default_count, keep_empty)
 
 
 def read_edges(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
@@ -128,10 +128,13 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
     return parse_locations(read_lines(spark, path))
 
 
-def read_responses(spark: SparkSession, path: str, key: str = "location_key") -> DataFrame:
+def read_responses(spark: SparkSession, path: str, key: str = "location_key", encoded: bool = False) -> DataFrame:
     """Stored JSON responses, one document per file, keyed by the file name without its extension.
 
-    Spark gives file names percent-encoded, so they are decoded.
+    Spark gives file names percent-encoded, so they are decoded; with encoded, the names themselves are too, as `write_responses` writes them.
     """
-    name = F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", "")
-    return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias(key), "value")
+    def decoded(name: Column) -> Column:
+        return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))  # a plus is not a space here
+
+    name = decoded(F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", ""))
+    return spark.read.text(path, wholetext=True).select((F.url_decode(name) if encoded else name).alias(key), "value")

@@ -77,6 +77,7 @@ def _drift(src: str = "stays", out: str = "calm", adjacency: bool = False, isola
     near = ("EXISTS (SELECT 1 FROM listed l WHERE l.cid = k.cid1 AND l.nbr_cid = k.cid)" if adjacency else "false")
     rule = (f"WHEN d01 / d02 > {isolated} AND v01 * v12 > {o['max_speed']} * {o['max_speed']} THEN 'bounce'" if isolated else "")
     share = "AND (ce - cb)::DOUBLE / n < 0.34" if true_share else ""
+    cluster_s = 40_000 if true_share else o["cluster_s"]
     speed = "CASE WHEN {t} = 0 OR {d} = 0 THEN 0.0::DOUBLE ELSE {d} * 1000 / {t} END"
     listed = ["listed AS (SELECT cid, (cid::BIGINT - 8)::VARCHAR AS nbr_cid FROM cells WHERE cid::BIGINT >= 8)"] if adjacency else []
     p = out
@@ -120,7 +121,7 @@ def _drift(src: str = "stays", out: str = "calm", adjacency: bool = False, isola
   WHERE w.cb IS NOT NULL AND x.pos IS NULL)""",
         f"""{p}_bad AS (
   SELECT "user", seg_id, cb FROM {p}_c GROUP BY "user", seg_id, cb, ce, n
-  HAVING max(CASE WHEN pos = ce THEN end_s END) - max(CASE WHEN pos = cb THEN start_s END) < {o['cluster_s']}
+  HAVING max(CASE WHEN pos = ce THEN end_s END) - max(CASE WHEN pos = cb THEN start_s END) < {cluster_s}
          AND count(DISTINCT cid) < 3 {share})""",
         f"""{out} AS (
   SELECT "user", cid, lon, lat, start_s, end_s, stay_s FROM {p}_p WHERE n < 3
@@ -457,4 +458,12 @@ FROM pois WHERE uid IS NOT NULL""")
     q["user_meetings"] = _with(STAYS, """SELECT least(a."user", b."user") AS src, greatest(a."user", b."user") AS dst, count(*) AS weight
 FROM stays a JOIN stays b ON a.cid = b.cid AND a."user" < b."user" AND least(a.end_s, b.end_s) >= greatest(a.start_s, b.start_s)
 GROUP BY 1, 2""")
+    q["user_meetings_gap"] = _with(STAYS, """SELECT least(a."user", b."user") AS src, greatest(a."user", b."user") AS dst, count(*) AS weight
+FROM stays a JOIN stays b ON a.cid = b.cid AND a."user" < b."user" AND greatest(a.start_s, b.start_s) - CASE WHEN (a.start_s, a."user") < (b.start_s, b."user") THEN a.end_s ELSE b.end_s END <= 172800
+GROUP BY 1, 2""")
+    q["corpus_order"] = _with(GRAPH + MANY_GRAPHS + ["""starts AS (
+  SELECT graph, start, walk, ('0x' || substr(md5(concat_ws('|', '7', graph, walk, start, 'order')), 1, 13))::UBIGINT AS u
+  FROM (SELECT DISTINCT graph, unnest([src, dst]) AS start FROM gs), (SELECT unnest(range(10)) AS walk))"""],
+        "SELECT graph, start, walk, row_number() OVER (ORDER BY graph, walk, u, start) - 1 AS position FROM starts")
+    q["stored_responses"] = q["place_details"]
     return q

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clock import STAMP, epoch
 from ..operators import dimensions, drift, embedding, graph, meetings, pingpong, places, regions, stays, walks
+from ..session import shared_dir
 from ..plans import cleaning, embedding as plan
 from ..sources import lines, sinks
 from . import tables as T
@@ -36,13 +38,13 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
-def _records(spark, d):
-    return cleaning.locate(T.call_records(spark, d), None, T.cell_alias(spark, d), T.cells(spark, d))
+def _records(spark, d, adjacency=None):
+    return cleaning.locate(T.call_records(spark, d), None, T.cell_alias(spark, d), T.cells(spark, d), adjacency)
 
 
-def _steps(spark, d, *steps):
+def _steps(spark, d, *steps, adjacency=None):
     """A chain of trajectory steps on the located records; hot users are looked for in the events themselves."""
-    return cleaning.user_steps(_records(spark, d), *steps, probe=T.call_records(spark, d).select("user"))
+    return cleaning.user_steps(_records(spark, d, adjacency), *steps, probe=T.call_records(spark, d).select("user"))
 
 
 def _run(df, o):
@@ -61,8 +63,8 @@ def _merged(spark, d):
     return _steps(spark, d, _run, _merge)
 
 
-def _calm(spark, d, **options):
-    return _steps(spark, d, _run, lambda x, o: drift.without_drift(x, o, **T.DRIFT, **options))
+def _calm(spark, d, adjacency=None, **options):
+    return _steps(spark, d, _run, lambda x, o: drift.without_drift(x, o, **T.DRIFT | options), adjacency=adjacency)
 
 
 # Sources: the parsers read lines that Spark renders from the tables.
@@ -109,8 +111,9 @@ def adjacency_lines(spark, d):
 
 @query
 def stay_file_lines(spark, d):
-    """Merged stays written as text and read back."""
-    return _plain(lines.parse_stays(sinks.stay_lines(_merged(spark, d))))
+    """Merged stays written as text and read back; empty fields at the end of a line do not count."""
+    text = sinks.stay_lines(_merged(spark, d))
+    return _plain(lines.parse_stays(text.select(F.concat("value", F.when(F.col("value").like("1%"), ",,").otherwise("")).alias("value"))))
 
 
 @query
@@ -210,7 +213,8 @@ def drift_isolated_rule(spark, d):
 
 @query
 def drift_true_share(spark, d):
-    return _plain(_calm(spark, d, true_share=True))
+    """A limit of the share at which it decides about some clusters."""
+    return _plain(_calm(spark, d, true_share=True, cluster_s=40_000, max_share=0.34))
 
 
 @query
@@ -375,6 +379,12 @@ def walks_thresholds(spark, d):
     return _paths(walks.random_walks(g, num_walks=1, walk_length=10, seed=7))
 
 
+@query
+def corpus_order(spark, d):
+    """The order in which the walks of the stated workload, ten from every node of four graphs, enter the corpus."""
+    return walks.corpus_order(walks.starts(graph.threshold_graphs(_graph(spark, d), T.THRESHOLDS)), seed=7)
+
+
 @query
 def embeddings(spark, d):
     """Vectors of all nodes from walks over the graph and its threshold sub-graphs."""
@@ -425,6 +435,15 @@ def place_details(spark, d):
     return out.withColumns({"lng": F.round("lng", 6), "lat": F.round("lat", 6)})
 
 
+@query
+def stored_responses(spark, d):
+    """Responses of all parts stored as a file each and read back by their file names."""
+    folder = f"{shared_dir(spark).rstrip('/')}/responses-{uuid.uuid4().hex}"
+    sinks.write_responses(T.detail_responses(spark, d), folder, key="uid")
+    out = places.flatten_details(lines.read_responses(spark, folder, key="uid", encoded=True))
+    return out.withColumns({"lng": F.round("lng", 6), "lat": F.round("lat", 6)})
+
+
 @query
 def place_detail_lines(spark, d):
     return places.detail_lines(places.flatten_details(T.detail_responses(spark, d)))
@@ -451,3 +470,9 @@ def signed_locations(spark, d):
 @query
 def user_meetings(spark, d):
     return meetings.meetings(_stays(spark, d))
+
+
+@query
+def user_meetings_gap(spark, d):
+    """Pairs of stays of which one begins at most two days after the other's end."""
+    return meetings.meetings(_stays(spark, d), max_gap_s=172_800)

@@ -76,11 +76,35 @@ def test_quantiles(spark):
     rnd = random.Random(2)
     values = [rnd.choice([5.0, rnd.random() * 1000]) for _ in range(3001)]
     e = edges(spark, [(i, i + 1, v) for i, v in enumerate(values)])
-    got = {r.probability: r.weight for r in G.weight_thresholds(e, rows_at_once=10).collect()}
+    got = {r.probability: r.weight for r in G.weight_thresholds(e).collect()}
     want = e.agg(F.percentile("weight", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))).first()[0]
     assert all(abs(got[p] - w) < 1e-9 for p, w in zip((0.25, 0.5, 0.75), want))
 
 
+def test_quantiles_of_odd_weights(spark):
+    def quantiles(values, *p):
+        df = spark.createDataFrame([(1, k, w) for k, w in enumerate(values)], EDGES)
+        return {r.probability: r.weight for r in G.weight_thresholds(df, p).collect()}
+
+    inf = float("inf")
+    assert quantiles([], 0.5) == {} == quantiles([None, None], 0.5)
+    assert quantiles([3.0], 0.0, 0.5, 1.0) == {0.0: 3.0, 0.5: 3.0, 1.0: 3.0}
+    assert quantiles([inf, 1.0, -inf, None], 0.0, 0.25, 0.5, 0.75, 1.0) == {0.0: -inf, 0.25: 1.0, 0.5: 1.0, 0.75: inf, 1.0: inf}
+    many = [float(k % 7) for k in range(100)]
+    assert quantiles(many, *[k / 100 for k in range(101)]).keys() == {k / 100 for k in range(101)}
+
+
+def test_corpus_order(spark, random_edges):
+    g = G.threshold_graphs(G.build_graph(edges(spark, [(a, b, w) for (a, b), w in random_edges.items()])), (3.0,))
+    starts = W.starts(g, 3)
+    one, again, other = (sorted((r.position, r.graph, r.walk, r.start) for r in W.corpus_order(s, seed).collect())
+                         for s, seed in ((starts, 1), (starts.repartition(5), 1), (starts, 2)))
+    assert one == again != other and [r[0] for r in one] == list(range(len(one))) == list(range(starts.count()))
+    assert [r[1:3] for r in one] == sorted(r[1:3] for r in one) == sorted(r[1:3] for r in other)
+    walks = W.random_walks(g, num_walks=3, walk_length=3)
+    assert sorted((r.position, r.graph, r.walk, r.start) for r in W.corpus_order(walks, 1).collect()) == one
+
+
 def test_walk_invariants(spark, random_edges):
     g = G.build_graph(edges(spark, [(a, b, w) for (a, b), w in random_edges.items()]))
     many = G.threshold_graphs(g, (3.0, 100.0))

@@ -131,5 +131,45 @@ def test_nulls_stay_fields(spark):
     rows = [("u", "c", None, 2.0, 10, None), ("u", None, 1.5, None, 20, 3)]
     stays = spark.createDataFrame(rows, "user string, cid string, lon double, lat double, stay_s long, n_records long").selectExpr(
         "user", "cid", "lon", "lat", "timestamp'2015-09-01 00:00:00' AS start_ts", "timestamp'2015-09-01 01:00:00' AS end_ts", "stay_s", "n_records")
-    back = sorted((r.stay_s, r.lon, r.lat, r.n_records) for r in L.parse_stays(sinks.stay_lines(stays)).collect())
+    back = sorted((r.stay_s, r.lon, r.lat, r.n_records) for r in L.parse_stays(sinks.stay_lines(stays), keep_empty=True).collect())
     assert back == [(10, None, 2.0, None), (20, 1.5, None, 3)]
+
+
+def test_empty_ends_of_stay_lines(spark):
+    text = ["c,1.0,2.0,u,20150901080000,20150901080100,60,3,,", "c,1.0,2.0,u,20150901080000,20150901080100,60,", "c,1.0,2.0,u,20150901080000,20150901080100,60,4"]
+    lines = spark.createDataFrame([(t,) for t in text], "value string")
+    assert sorted(r.n_records for r in L.parse_stays(lines).collect()) == [3, 4]
+    assert sorted(str(r.n_records) for r in L.parse_stays(lines, keep_empty=True).collect()) == ["4", "None"]
+
+
+def test_weights_that_are_no_numbers(spark):
+    lines = spark.createDataFrame([(t,) for t in ("1 2 inf", "1 2 -inf", "1 2 nan", "1 2 x", "1 2 7")], "value string")
+    assert [r.weight for r in L.parse_edges(lines, weighted=True).collect()] == [7.0]
+
+
+def test_stored_responses(spark, tmp_path):
+    rows = [("a/b 1.2", "{1}"), ("é", "{2}"), ("x", "{3}\n{4}"), ("x", "{3}\n{4}"), (None, "{5}"), ("y", None)]
+    folder = str(tmp_path / "responses")
+    sinks.write_responses(spark.createDataFrame(rows, "location_key string, value string"), folder)
+    assert {(r.location_key, r.value) for r in L.read_responses(spark, folder, encoded=True).collect()} == {("a/b 1.2", "{1}"), ("é", "{2}"), ("x", "{3}\n{4}")}
+
+
+def test_tree_nodes_cover_each_bucket_once(spark):
+    from dwellgraph.operators.meetings import covering
+
+    spans = [(a, b) for a in (-7, 0, 5, 1000) for b in range(a, a + 70, 3)] + [(3, 3 + 8760)]
+    df = spark.createDataFrame(spans, "a long, b long").select("a", "b", covering(F.col("a"), F.col("b")).alias("nodes"))
+    for r in df.collect():
+        buckets = sorted(k for n in r.nodes for k in range(n.node << n.level, (n.node + 1) << n.level))
+        assert buckets == list(range(r.a, r.b + 1))
+        assert len(r.nodes) <= 2 * (r.b - r.a + 1).bit_length()  # by the logarithm of the length
+
+
+def test_meetings_of_long_stays_and_gaps(spark):
+    rows = [(f"u{k}", "c", 110.0, 20.0, at(977 * k), at(977 * k + d), d) for k, d in enumerate([10, 40_000_000, 0, 90_000, 3600, 5, 7200, 86_400 * 200])]
+    df = spark.createDataFrame(rows, STAY)
+    for gap in (0, 1500):
+        want = {(x[0], y[0]): 1 for x in rows for y in rows if x[0] < y[0] and (y[4] - x[5]).total_seconds() <= gap}
+        for hot in (None, 2):
+            assert {(r.src, r.dst): r.weight for r in meetings(df, max_gap_s=gap, hot_rows=hot).collect()} == want
+    assert meetings(df.limit(0)).count() == 0

@@ -185,3 +185,62 @@ def test_one_exchange_for_the_trajectory_chain(spark):
     df = spark.createDataFrame([r[:7] for r in random_stays(3)], STAY)
     plan = drift.remove_drift(df, hot_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_neighbours_come_with_the_cells(spark):
+    """With broadcasts off, the stays leave their users for no neighbour lookup: one exchange of the records by user, behind those of the lookups."""
+    df = spark.createDataFrame([r[:7] for r in random_stays(3)], STAY)
+    cdr = df.select("user", F.col("start_ts").alias("ts"), "cid")
+    cells = df.select("cid", "lon", "lat").dropDuplicates(["cid"])
+    listed = spark.createDataFrame([("3", "0"), ("1", "4")], "cid string, nbr_cid string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = clean_traces(cdr, None, None, cells, listed, CleaningConfig(hot_rows=None, min_records=1, min_stays=1))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        small = drift.remove_drift(df, listed, hot_rows=None)
+        want = small.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(user") == 1 and "Python" not in plan
+    assert want == drift.remove_drift(df, listed, hot_rows=60).count() > drift.remove_drift(df).count()
+
+
+def test_scores_of_many_cells_against_definition(spark):
+    """A group of 60 cells, two of which have several positions, in both ways, with ties that the first stay decides."""
+    import math
+    import random
+
+    from dwellgraph.functions.geo import PI_RAW, RADIUS_RAW_KM
+
+    rnd = random.Random(3)
+    place = {str(c): [(110 + rnd.random(), 20 + rnd.random()) for _ in range(3 if c < 2 else 1)] for c in range(60)}
+    rows = []
+    for k in range(200):
+        c = str(rnd.randrange(60))
+        lon, lat = rnd.choice(place[c])
+        rows.append(("u", c, lon, lat, at(10 * k), at(10 * k + 5), 5))
+    rows += [("v", c, 110.0 + (c == "B"), 20.0, at(10 * k), at(10 * k + 5), 5) for k, c in enumerate("ABABAB")]
+
+    def km(a, b):
+        if a == b:
+            return 0.0
+        (x, u), (y, v) = [(p[0] * PI_RAW / 180, p[1] * PI_RAW / 180) for p in (a, b)]
+        return RADIUS_RAW_KM * math.acos(max(-1, min(1, math.cos(u) * math.cos(x) * math.cos(v) * math.cos(y)
+                                                     + math.cos(u) * math.sin(x) * math.cos(v) * math.sin(y) + math.sin(u) * math.sin(v))))
+
+    want, best = {}, {}
+    for user in "uv":
+        own = [r for r in rows if r[0] == user]
+        for c in {r[1] for r in own}:
+            first = next(r for r in own if r[1] == c)
+            far = [km(first[2:4], r[2:4]) for r in own if r[1] != c]
+            want[user, c] = round(sum(r[1] == c for r in own) / (sum(far) / len(far)), 7)
+        order = {r[1]: -k for k, r in reversed(list(enumerate(own)))}
+        best[user] = max((v, order[c], c) for (u, c), v in want.items() if u == user)[2]
+    df = spark.createDataFrame(rows, STAY)
+    for hot in (None, 50):
+        got = {(r.user, r.cid): round(r.score, 7) for r in pingpong.station_scores(df, hot_rows=hot).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        assert {r.user: r.cid for r in pingpong.collapse_pingpong(df, hot_rows=hot).collect()} == best
+    assert best["v"] == "A"
