@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ranks import ranked
 from ..session import cut
-from .ranks import ranked
 
 FAN = 8
 HEIGHT = 3

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..defaults import BROADCAST_ROWS
+from ..operators.ranks import ranked
 from ..session import cut
 from .merkle import blocks_of
-from .ranks import ranked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5

@@ -10,7 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from dwellgraph.llm import merkle, mixing, queries, ranks, turns
+from dwellgraph.llm import merkle, mixing, queries, turns
+from dwellgraph.operators import ranks
 from pyspark.sql import functions as F, types as T
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
