@@ -35,6 +35,32 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(int(a), int(b - a))
 
 
+def whole_texts(batch: pa.RecordBatch, column: str) -> pa.StringArray:
+    """The texts of a column, null ones as empty."""
+    return pc.fill_null(batch.column(column), "").cast(pa.string())
+
+
+def pieces_of(texts: pa.StringArray, between: str) -> tuple[pa.StringArray, np.ndarray]:
+    """All pieces of the texts between a separator, and how many each text has."""
+    parts = pc.split_pattern(texts, between)
+    parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
+    return parts.flatten(), np.diff(parts.offsets.to_numpy())
+
+
+def bounds_of(ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where each text's ids begin, from where each of its pieces' do."""
+    return ends[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def in_order(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of n texts in one array and their bounds, from groups of (texts, ids, bounds)."""
+    flat, owner = np.concatenate([g[1] for g in groups]), np.concatenate([g[0] for g in groups])
+    lengths = np.concatenate([np.diff(g[2]) for g in groups])
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(owner, kind="stable")
+    return ragged(flat, starts[order], lengths[order])
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
@@ -123,10 +149,15 @@ class RaggedCache:
 
     def gather(self, keys: list[list[str]], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all keys of all texts in one array, and where each text's ids begin. make: (ids, lengths) of strings not seen yet."""
+        counts = np.fromiter(map(len, keys), np.int64, len(keys))
+        index = self._index(list(chain.from_iterable(keys)), make)
+        ids, ends = ragged(self.ids, self.starts[index], self.lengths[index])
+        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+
+    def _index(self, flat: list[str], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Where each string's ids are kept, after those not seen yet are made."""
         if len(self.known) > self.limit:
             self._forget()
-        flat = list(chain.from_iterable(keys))
-        counts = np.fromiter(map(len, keys), np.int64, len(keys))
         index = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(index < 0).tolist()
         if missing:
@@ -138,8 +169,13 @@ class RaggedCache:
             self.starts = np.cumsum(self.lengths) - self.lengths
             self.ids = np.concatenate([self.ids, ids])
             index[missing] = [self.known[flat[k]] for k in missing]
-        ids, ends = ragged(self.ids, self.starts[index], self.lengths[index])
-        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+        return index
+
+    def gather_words(self, words: pa.StringArray, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and where each word's ids begin (and the last ends). Words that are equal are looked up once."""
+        coded = words.dictionary_encode()
+        index = self._index(coded.dictionary.to_pylist(), make)[coded.indices.to_numpy(zero_copy_only=False)]
+        return ragged(self.ids, self.starts[index], self.lengths[index])
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

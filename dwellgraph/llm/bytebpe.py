@@ -10,22 +10,23 @@ other than the ones named are ignored, so clashing names do no harm.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .batches import RaggedCache, U64, mix, ragged, resident, slices, texts_of
+from .batches import RaggedCache, U64, bounds_of, in_order, mix, pieces_of, ragged, resident, slices, whole_texts
 
 NONE = np.int32(2**31 - 1)
 CACHED_PIECES = 300_000
 CELLS = 1 << 21
 # Where white space is more than one space between two words, a text is split by the pattern as a whole.
-UNEVEN_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+BLANK = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
+UNEVEN_SPACE = rf"{BLANK}{BLANK}|\A{BLANK}|{BLANK}\z|\x00"
 
 
 class PairTable:
@@ -79,7 +80,7 @@ class ByteBpe:
         with open(path, "rb") as f:
             self.whole = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern)
-        self.bytes_of = {rank: piece for piece, rank in self.whole.items()}
+        self.pieces_of_ids = Pieces(path)
         self.byte_ids = np.array([self.whole[bytes([b])] for b in range(256)], dtype=np.int32)
         keys, values = [], []
         for piece, rank in self.whole.items():
@@ -165,18 +166,22 @@ class ByteBpe:
         ids, bounds = self.pieces.gather([[c] if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else split(c) for c in chunks], self._merged)
         return ids, np.diff(bounds)
 
-    def _split(self, text: str) -> list[str]:
-        """Parts that can be encoded one by one: no match of the pattern goes across a single space from the left."""
-        if "\0" in text or UNEVEN_SPACE.search(text):
-            return self.pattern.findall(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin (one entry more than texts)."""
-        return self.chunks.gather([self._split(t) if t else [] for t in texts], self._chunk_ids)
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        whole = pc.match_substring_regex(texts, UNEVEN_SPACE).to_numpy(zero_copy_only=False)
+        even = np.flatnonzero(~whole & (pc.binary_length(texts).to_numpy() > 0))
+        # Parts that can be encoded one by one: no match of the pattern goes across a single space from the left.
+        chunks, counts = pieces_of(pc.replace_substring(texts.take(pa.array(even)), " ", "\0 "), "\0")
+        ids, ends = self.chunks.gather_words(chunks, self._chunk_ids)
+        groups = [(even, ids, bounds_of(ends, counts))]
+        if len(even) < len(texts):
+            others = np.setdiff1d(np.arange(len(texts)), even)
+            groups.append((others, *self.chunks.gather([self.pattern.findall(t) for t in texts.take(pa.array(others)).to_pylist()], self._chunk_ids)))
+        return in_order(groups, len(texts))
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.pieces_of_ids.decode(ids)
 
 
 def loaded(path: str, pattern: str) -> ByteBpe:
@@ -189,10 +194,24 @@ class Pieces:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.bytes_of = {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
+            pieces = {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
+        self.lengths = np.full(max(pieces) + 1, -1, dtype=np.int64)
+        self.lengths[list(pieces)] = [len(p) for p in pieces.values()]
+        ordered = [pieces.get(k, b"") for k in range(len(self.lengths))]
+        self.flat = np.frombuffer(b"".join(ordered), dtype=np.uint8)
+        self.starts = np.cumsum([0, *map(len, ordered[:-1])])
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        flat = np.fromiter(ids, np.int64)
+        return self.decoded(flat, np.array([0, len(flat)]))[0].as_py()
+
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> pa.LargeBinaryArray:
+        """The bytes of many rows of ids, which begin at bounds; KeyError for an id that stands for nothing."""
+        known = (ids >= 0) & (ids < len(self.lengths))
+        if not known.all() or (self.lengths[ids] < 0).any():
+            raise KeyError("an id that is not in the vocabulary")
+        data, ends = ragged(self.flat, self.starts[ids], self.lengths[ids])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends[bounds]), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +223,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         bpe = loaded(path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, bounds = bpe.encode(texts_of(part, "text"))
+                ids, bounds = bpe.encode(whole_texts(part, "text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], ["key", "ids"])
 
     return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
@@ -219,9 +238,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         bpe = loaded(path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, bounds = bpe.encode(texts_of(part, "text"))
+                ids, bounds = bpe.encode(whole_texts(part, "text"))
                 column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                decoded = pa.array([bpe.decode(row) for row in column.to_pylist()], pa.binary())
+                decoded = bpe.pieces_of_ids.decoded(ids, bounds).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("key"), column, decoded], ["key", "ids", "decoded"])
 
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
@@ -237,7 +256,9 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                raw = [pieces.decode(row or ()) for row in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), pa.array(raw, pa.binary())], ["key", "ids", "decoded"])
+                column = part.column("ids")
+                counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+                raw = pieces.decoded(column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)]))
+                yield pa.RecordBatch.from_arrays([part.column("key"), column, raw.cast(pa.binary())], ["key", "ids", "decoded"])
 
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
