@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_dir
-from .batches import RaggedCache, ragged, resident, slices, texts_of
+from .batches import RaggedCache, bounds_of, in_order, pieces_of, ragged, resident, slices, whole_texts
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the masking formula
 NULL_ID = -(2**63)
@@ -111,25 +112,35 @@ class WordEncoder:
     def _parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """New words by their parts: folded, and cut into the matches of the splitting pattern, which the library encodes one by one. A word with
         characters that normalisation may change otherwise than by case, or with unprintable ones, is a part itself."""
-        keys = []
-        for w in words:
+        given = pa.array(words, pa.string())
+        plain = pc.ascii_is_alpha(given).to_numpy(zero_copy_only=False)
+        ids, ends = self.cores.gather_words(pc.ascii_lower(given.filter(pa.array(plain))), self._encode)
+        groups = [(np.flatnonzero(plain), ids, ends)]
+        others, keys = np.flatnonzero(~plain), []
+        for w in map(words.__getitem__, others.tolist()):
             if w.isascii() or max(w) < FIRST_COMBINING:
                 low = w.lower()
                 keys.append([low] if low.isalpha() else self.split(low) if low.isprintable() else [w])
             else:
                 keys.append([w])
-        ids, bounds = self.cores.gather(keys, self._encode)
-        return ids, np.diff(bounds)
+        groups.append((others, *self.cores.gather(keys, self._encode)))
+        ids, ends = in_order(groups, len(words))
+        return ids, np.diff(ends)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin (one entry more than texts)."""
-        whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
-        if not whole:
-            return self.words.gather([t.replace("\n", " ").split(" ") for t in texts], self._parts)
-        each = []
-        for k, t in enumerate(texts):
-            each.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if k in set(whole) else self.encode([t])[0])
-        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        whole = np.zeros(len(texts), dtype=bool)
+        for string in self.special:
+            whole |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+        split = np.flatnonzero(~whole)
+        words, counts = pieces_of(pc.replace_substring(texts.take(pa.array(split)), "\n", " "), " ")
+        ids, ends = self.words.gather_words(words, self._parts)
+        groups = [(split, ids, bounds_of(ends, counts))]
+        if whole.any():
+            own = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t in texts.filter(pa.array(whole)).to_pylist()]
+            groups.append((np.flatnonzero(whole), np.concatenate(own), np.concatenate([[0], np.cumsum([len(e) for e in own])])))
+        return in_order(groups, len(texts))
 
 
 def loaded(path: str) -> WordEncoder:
@@ -171,7 +182,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, ke
                     own = f"{place}/.{base}-{context.taskAttemptId()}"
                     out = fs.open_output_stream(f"{own}.rec")
                 keys = part.column("key").to_numpy()
-                ids, bounds = encoder.encode(texts_of(part, "text"))
+                ids, bounds = encoder.encode(whole_texts(part, "text"))
                 kind = "<u2" if encoder.width == 2 and end_id < 1 << 16 else "<u4"
                 small, end = ids.astype(kind), np.array([end_id], dtype=kind).tobytes()
                 ends = bounds.tolist()
