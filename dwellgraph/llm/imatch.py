@@ -6,6 +6,9 @@ holds, and it can be broadcast. A document's distinct lexicon terms, sorted, are
 lexicon. Subsets come in scales: at scale s a term belongs to a subset with probability 2^-s. A document with m lexicon terms uses SCALES_USED
 scales, from that at which a subset holds between half a term and one, so that an edit leaves the hashes of the other subsets alone however long the
 text is, and texts whose numbers of terms differ up to eightfold still have a scale in common.
+Texts of a large group of copies have nearly all their terms above the band, whose upper edge the group itself exceeds. A text with less than FEW of its
+distinct terms in the lexicon therefore takes those of a second band, from HIGH to UPPER, along; of those there are at most T / HIGH, and they are
+broadcast too.
 Empty subsets are not written. The likeness of two fingerprints is, over the scales that both have, the share of subsets with equal hashes among those
 that are not empty in either; it estimates the overlap of their lexicon terms.
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut
 from .batches import U64, mix, seeds, slices, texts_of, word_hashes
 
-LOW, HIGH = 0.0005, 0.1
+LOW, HIGH, UPPER = 0.0005, 0.1, 0.5
+FEW = 0.1
 MAX_LEXICON = 1 << 20
 SUBSETS = 64
 SCALES = 30
@@ -49,8 +54,23 @@ def distinct_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words[new], owner[new]
 
 
-def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Sorted hashes of the terms in the band, from counts over all documents."""
+class Lexicon(NamedTuple):
+    """Sorted hashes of the terms in the band, and of those in the second band above it."""
+
+    band: np.ndarray
+    above: np.ndarray
+
+
+def _member(terms: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(terms), dtype=bool)
+    at = np.searchsorted(listed, terms)
+    at[at == len(listed)] = 0
+    return listed[at] == terms
+
+
+def lexicon(docs: DataFrame, text: str = "text") -> Lexicon:
+    """The terms in the two bands, from counts over all documents."""
     rows = docs.select(docs[text].alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,18 +96,19 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     counted = rows.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     n = docs.count()
-    frequent = cut(counted.filter((F.col("df") >= LOW * n) & (F.col("df") <= HIGH * n)))
-    total = frequent.agg(F.sum("df")).first()[0] or 0
-    kept = frequent.filter(F.col("df") >= total / MAX_LEXICON).select("term").toPandas()  # at most MAX_LEXICON
-    return np.sort(kept["term"].to_numpy(dtype=np.int64).view(U64))
+    frequent = cut(counted.filter((F.col("df") >= LOW * n) & (F.col("df") <= UPPER * n)).withColumn("above", F.col("df") > HIGH * n))
+    total = frequent.filter("not above").agg(F.sum("df")).first()[0] or 0
+    kept = frequent.filter(F.col("above") | (F.col("df") >= total / MAX_LEXICON)).select("term", "above").toPandas()  # at most MAX_LEXICON and T / HIGH
+    terms, above = kept["term"].to_numpy(dtype=np.int64).view(U64), kept["above"].to_numpy(dtype=bool)
+    return Lexicon(np.sort(terms[~above]), np.sort(terms[above]))
 
 
-def fingerprints(texts: list[str], lexicon: np.ndarray) -> list[Fingerprint]:
+def fingerprints(texts: list[str], lexicon: Lexicon) -> list[Fingerprint]:
     terms, owner = distinct_terms(texts)
     out: list[Fingerprint] = [{} for _ in texts]
-    at = np.searchsorted(lexicon, terms)
-    at[at == len(lexicon)] = 0
-    known = lexicon[at] == terms if len(lexicon) else np.zeros(len(terms), dtype=bool)
+    known = _member(terms, lexicon.band)
+    few = np.bincount(owner[known], minlength=len(texts)) < FEW * np.bincount(owner, minlength=len(texts))
+    known |= few[owner] & _member(terms, lexicon.above)
     sizes = np.bincount(owner[known], minlength=len(texts))
     for k in np.flatnonzero(sizes == 0).tolist():
         a, b = np.searchsorted(owner, (k, k + 1))
@@ -155,9 +176,9 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     return both.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.desc("key"), "text")
 
 
-def compared(docs: DataFrame, lexicon: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compared(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of all documents and of their edited texts: the last third replaced by the beginning of the next document in descending key order."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_LEXICON numbers
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # its two parts are bounded
     schema = f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

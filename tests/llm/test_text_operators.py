@@ -171,6 +171,10 @@ def test_toxicity_odd_rows(spark, documents, odd_rows):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_number_characters_are_no_letters():
+    assert langid.words_of("½ ² ① x²y Ⅷ a1b") == ["x", "y", "a", "b"]
+
+
 def test_fingerprints(spark, documents):
     r = random.Random(4)
     vocabulary = [f"w{k}" for k in range(400)]
@@ -188,6 +192,58 @@ def test_fingerprints(spark, documents):
     assert np.mean([got[i].near_edited for i in long]) > np.mean([got[i].near_next for i in long]) + 0.1
 
 
+def test_fingerprints_of_a_large_group_of_near_copies(documents):
+    """A third of the rows are near copies, whose terms are all above the band."""
+    r = random.Random(14)
+    vocabulary = [f"w{k}" for k in range(6000)]
+    base = r.sample(vocabulary, 200)
+    rows = [(k, " ".join([r.choice(vocabulary) for _ in range(200)])) for k in range(800)]
+    for k in range(800, 1200):
+        copy = list(base)
+        for at in r.sample(range(200), 6):
+            copy[at] = r.choice(vocabulary)
+        rows.append((k, " ".join(copy)))
+    docs = documents(rows)
+    got = {x.doc_id: x.near_next for x in imatch.compared(docs, imatch.lexicon(docs)).collect()}
+    assert np.mean([got[k] for k in range(801, 1200)]) > 0.6 and np.mean([got[k] for k in range(1, 800)]) < 0.1
+
+
+def test_fingerprints_by_plain_rules():
+    """Each subset's hash from its terms one by one, in Python's integers."""
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    r = random.Random(15)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.choice((0, 1, 5, 60, 250)))) for _ in range(25)]
+    term = {w: int(imatch.distinct_terms([w])[0][0]) for w in vocabulary}
+    band, above = (np.sort(np.array([term[w] for w in part], dtype=np.uint64)) for part in (vocabulary[:40], vocabulary[40:120]))
+    seen = imatch.fingerprints(texts, imatch.Lexicon(band, above))
+    for text, print_ in zip(texts, seen):
+        own = {term[w] for w in text.split()}
+        used = own & set(band.tolist())
+        used |= own & set(above.tolist()) if len(used) < imatch.FEW * len(own) else set()
+        want = {}
+        if not used:
+            assert print_ == {(-1, 0): mixed(sum(mixed(t) for t in own) + len(own) & full)}
+            continue
+        first = len(used).bit_length()
+        for s in range(first, first + imatch.SCALES_USED):
+            want[s, imatch.SUBSETS] = 0
+            for j in range(imatch.SUBSETS):
+                inside = [t for t in used if all(mixed(t ^ int(imatch._SEEDS[k])) >> j & 1 for k in range(s))]
+                if inside:
+                    want[s, j] = mixed(sum(mixed(t + s & full) for t in inside) & full) >> 40
+        assert print_ == want
+    one, two = (" ".join(vocabulary[:40][a : a + 30]) for a in (0, 6))
+    a, b = imatch.fingerprints([one, two], imatch.Lexicon(band, above))
+    assert abs(imatch.likeness(a, b) - 24 / 36) < 0.2  # the overlap of their terms
+
+
 def test_fingerprint_odd_rows(documents, odd_rows):
     docs = documents(odd_rows).withColumn("bucket", F.lit(3))
     assert imatch.compared(docs, imatch.lexicon(docs)).count() == len(odd_rows)
