@@ -109,7 +109,9 @@ def buckets(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
 def words_of(text: str) -> list[str]:
     out = []
     for w in WORD.findall(text.lower()):
-        if len(w) <= LONGEST_WORD:
+        if not w.isalpha():  # number characters other than digits are no letters
+            out.extend(words_of("".join(c if c.isalpha() else " " for c in w)))
+        elif len(w) <= LONGEST_WORD:
             out.append(w)
         else:
             out.extend(w[a : a + LONGEST_WORD] for a in range(0, len(w), LONGEST_WORD))
