@@ -172,8 +172,9 @@ def replaced(text: Column, all_spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the sanitised text in place of the text; a null text stays null."""
-    found = spans(docs, key, text).select("row", F.array_sort(F.concat("base", "terms")).alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["row"])
-    own = F.xxhash64(docs[key], F.coalesce(docs[text], F.lit("")))
-    joined = docs.withColumn("_row", own).join(found.withColumnRenamed("row", "_row"), "_row", "left")
-    fresh = F.when(F.col("_spans").isNotNull(), replaced(F.col(text), F.col("_spans"))).otherwise(F.col(text))
+    free = lambda name: name if name not in docs.columns else free(f"_{name}")
+    row, all_spans = free("_row"), free("_spans")
+    found = spans(docs, key, text).select(F.col("row").alias(row), F.array_sort(F.concat("base", "terms")).alias(all_spans)).filter(F.size(all_spans) > 0).dropDuplicates([row])
+    joined = docs.withColumn(row, F.xxhash64(docs[key], F.coalesce(docs[text], F.lit("")))).join(found, row, "left")
+    fresh = F.when(F.col(all_spans).isNotNull(), replaced(F.col(text), F.col(all_spans))).otherwise(F.col(text))
     return joined.select(*[fresh.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -289,3 +289,33 @@ def test_stages_on_odd_rows(spark, documents, odd_rows, name, stage):
     wanted = {"language_id": {4: 1, 5: 2, 6: 2, None: 1, 8: 1}, "minhash_dedup": {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, None: 1, 7: 1, 8: 1}}
     assert dict(ids) == wanted.get(name, {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 2, None: 1, 7: 1, 8: 1})
     assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_stages_on_clashing_and_few_columns(spark, documents, odd_rows):
+    sf = "/root/testdata/sf0.001"
+    docs = documents([(i, t, "en") for i, t in odd_rows])
+    clash = docs.withColumns({"_n": F.lit("x"), "_row": F.lit("r"), "_spans": F.lit("s"), "found_id": F.lit(1), "tags": F.create_map(F.lit("a"), F.col("doc_id"))})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, clash, sf)
+        assert got.columns == clash.columns
+        assert {(r["_n"], r["_row"], r["_spans"], r.found_id) for r in got.collect()} == {("x", "r", "s", 1)}
+    few = corpus_pipeline.drop_near_duplicates(spark, docs.select("doc_id", "text"), sf).collect()
+    assert sorted(r.doc_id or 0 for r in few) == [0, 1, 2, 3, 4, 5, 6, 6, 7, 8]
+    coded = corpus_pipeline.tokenize(spark, clash, sf).collect()
+    assert len(coded) == len(odd_rows) and all(r.n_tokens == len(r.ids) for r in coded)
+    assert corpus_pipeline.tokenize(spark, docs.limit(0), sf).count() == 0
+
+
+def test_contaminated_document_without_an_id_goes(spark, documents):
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    kept = corpus_pipeline.decontaminate(spark, documents([(None, f"before {item} after"), (1, "clean words only"), (2, item)]), sf)
+    assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_pipeline_runs_on_empty_and_odd_tables(spark, documents, odd_rows, tmp_path):
+    for name, rows in (("none", []), ("odd", odd_rows)):
+        documents([(i, t, "en") for i, t in rows]).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in got} == ({None, 4, 5, 6, 8} if rows else set())
