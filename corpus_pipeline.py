@@ -32,16 +32,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return kept
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(docs.columns)
+    # The first by the text of all other columns, which also a map has.
+    free = lambda name: name if name not in docs.columns else free(f"_{name}")
+    n, others = free("_n"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    again = kept.join(repeated, "doc_id", "left_semi").withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(docs.columns)
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
     ship(spark)
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("found_id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
