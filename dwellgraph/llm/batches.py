@@ -174,7 +174,8 @@ class RaggedCache:
     def gather_words(self, words: pa.StringArray, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word's ids begin (and the last ends). Words that are equal are looked up once."""
         coded = words.dictionary_encode()
-        index = self._index(coded.dictionary.to_pylist(), make)[coded.indices.to_numpy(zero_copy_only=False)]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        index = self._index(distinct, make)[coded.indices.to_numpy(zero_copy_only=False)]
         return ragged(self.ids, self.starts[index], self.lengths[index])
 
 

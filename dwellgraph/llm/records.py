@@ -34,6 +34,7 @@ MASK_DELTA = 0xA282EAD8  # fixed value of the masking formula
 NULL_ID = -(2**63)
 CACHED_WORDS = 400_000
 WORDS_IN_LINE = 200
+ENCODED_AT_ONCE = 1 << 22  # bytes of text, whose distinct words are looked up
 FIRST_COMBINING = "\u0300"  # below it, NFC changes nothing and case does not depend on neighbours
 INDEX = np.dtype([("key", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 MANIFEST = "shard int, path string, n_records long, n_ids long, n_bytes long"
@@ -175,7 +176,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, ke
         at = n_ids = n_records = 0
         base = f"records-{shard:06d}"
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_AT_ONCE):
                 if out is None:
                     fs, place = _file_system(folder)
                     fs.create_dir(place, recursive=True)
