@@ -4,7 +4,11 @@ A loop starts at a stay whose cell comes again two stays later. It grows while o
 stays is in a place the region already has. A place is known to the region exactly when its last earlier
 occurrence lies at or after the region's start, so window functions can say for every stay how far back the
 nearest following stays reach ("reach"); the region starting at b ends at the first stay from b + 2 on whose
-reach lies before b. Only the choice of starts is sequential: one pass over (position, loop start, reach).
+reach lies before b. Only the choice of starts is sequential.
+
+Where nothing known lies ahead of a stay (its reach is 0), no region stays open: one that began two stays before or earlier ends there, and a later start would
+have a reach of its own. So a segment falls into blocks that end at such stays, found by running sums, and each block is folded alone, mostly a few
+stays: the fold keeps the open start and the regions closed so far. Only slices of hot users, whose blocks may be of any length, are composed by summaries.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ import sys
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
@@ -72,10 +75,9 @@ def looped(df: DataFrame, o: Whole, cut_s: int = REGION_GAP_S, lookahead: int =
 
 def _assign(x: DataFrame, o: Whole) -> DataFrame:
     """Add _region: the position of the first stay of the region a stay belongs to, 0 if none."""
-    schema = x.withColumn("_region", F.lit(0).cast("long")).schema
     if not o.sliced:
-        # The windows just before leave every segment together and in order, so a streaming pass is enough.
-        return x.mapInArrow(_mark_ordered, schema)
+        return _folded(x, o)
+    schema = x.withColumn("_region", F.lit(0).cast("long")).schema
     # A segment may span slices: sum up each slice, follow the open region along the slices of a segment,
     # then mark each slice with the region that is open where it begins.
     x = o.settle(x)
@@ -89,6 +91,38 @@ def _assign(x: DataFrame, o: Whole) -> DataFrame:
     return x.join(opened, part).groupBy(*part).applyInPandas(_mark, schema)
 
 
+def _folded(x: DataFrame, o: Whole) -> DataFrame:
+    """The same for whole segments, block by block. The arrays of a block are as long as it is, and a region copies those before it in its block."""
+    x = o.within("seg_id").running(x, ["_pos"], sums={"_ends": (F.col("_reach") == 0).cast("long")})
+    block = F.col("_ends") - (F.col("_reach") == 0).cast("long")
+    fields = [c for c in x.columns if c not in (*o.keys, "seg_id", "_ends")]
+    # _pos comes first, so the array is sorted by it.
+    rows = F.array_sort(F.collect_list(F.struct("_pos", *[c for c in fields if c != "_pos"])))
+    blocks = x.groupBy(*o.keys, "seg_id", block.alias("_block")).agg(rows.alias("_rows"), F.max("_loop").alias("_any"))
+    region = "struct<first: bigint, last: bigint>"
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("open"), F.array().cast(f"array<{region}>").alias("done"))
+
+    def step(acc, row):
+        opened = F.when(acc["open"] > 0, acc["open"]).when(row["_loop"], row["_pos"]).otherwise(none)
+        ends = (opened > 0) & (row["_pos"] >= opened + 2) & (row["_reach"] < opened)
+        closed = F.struct(opened.alias("first"), row["_pos"].alias("last"))
+        return F.struct(F.when(ends, none).otherwise(opened).alias("open"), F.when(ends, F.array_append(acc["done"], closed)).otherwise(acc["done"]).alias("done"))
+
+    regions = F.when(F.col("_any"), F.aggregate("_rows", start, step, lambda acc: acc["done"])).otherwise(F.array().cast(f"array<{region}>"))
+    blocks = blocks.withColumn("_done", regions)
+    first = F.element_at("_rows", 1)["_pos"]
+
+    def owners(r, k):
+        after = F.when(k > 0, F.get("_done", k - 1)["last"]).otherwise(first - 1)
+        return F.concat(F.array_repeat(none, (r["first"] - after - 1).cast("int")), F.array_repeat(r["first"], (r["last"] - r["first"] + 1).cast("int")))
+
+    # Stays behind the last region have no entry.
+    blocks = blocks.withColumn("_owners", F.flatten(F.transform("_done", owners)))
+    out = blocks.select(*o.keys, "seg_id", "_owners", F.posexplode("_rows").alias("_k", "_row"))
+    return out.select(*o.keys, "seg_id", *[F.col(f"_row.{c}").alias(c) for c in fields], F.coalesce(F.get("_owners", F.col("_k")), none).alias("_region"))
+
+
 def _scan(pos, loop, reach, start: int, opened: int, owner=None, settled=None) -> int:
     """Go over the stays from index start; return the start of the region still open at the end, or 0.
 
@@ -114,25 +148,6 @@ def _scan(pos, loop, reach, start: int, opened: int, owner=None, settled=None) -
     return int(opened)
 
 
-def _mark_ordered(batches):
-    """Mark stays that arrive segment by segment in order.
-
-    The last stay of a segment closes its region, because nothing lies ahead of it.
-    """
-    opened, last = 0, 0
-    for batch in batches:
-        pos = batch.column("_pos").to_numpy()
-        before = np.concatenate(([last], pos[:-1]))
-        if not np.all((pos == 1) | (pos == before + 1)):
-            raise ValueError("the stays of a segment must arrive together and in order")
-        owner = np.zeros(len(pos), dtype="int64")
-        loop = batch.column("_loop").to_numpy(zero_copy_only=False)
-        if opened or loop.any():
-            opened = _scan(pos.tolist(), loop.tolist(), batch.column("_reach").to_pylist(), 0, opened, owner)
-        last = pos[-1] if len(pos) else last
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(owner)], names=[*batch.schema.names, "_region"])
-
-
 def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("_pos", ignore_index=True)
     owner = np.zeros(len(pdf), dtype="int64")
