@@ -11,6 +11,10 @@ other; connected candidates form a cluster. Within a cluster all pairs whose siz
 in one task, a larger one as pairs of blocks of bounded size, in as many tasks. A task counts intersections by matrix products over the shingles that
 several members have and returns a spanning forest of the links it finds, never the pairs.
 
+A large cluster is mostly one group of near copies, of which all pairs need not be looked at. So each member of a large cluster is first checked with about
+LEADERS of its members, drawn by a hash. The largest group that these links connect is the main part of the cluster: its members are known to belong
+together, and blocks of it are compared with blocks of the rest only. So the work grows with the members times the blocks of the rest.
+
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a shingle make one shingle; rows of
 one id with different texts are grouped by their own texts (and joined if that id is the smallest of both groups); repeated rows share their result; a
 row with a null id is linked with nothing, has a null component and is kept; other columns are ignored.
@@ -36,6 +40,7 @@ BANDS = SIZE // ROWS
 LEAST_PERCENT = 85  # a link: 100 * intersection >= 85 * union
 BLOCK_SHINGLES = 150_000  # of all members of a block
 BLOCK_MEMBERS = 2_000  # a task's matrices have a row or column for each member
+LEADERS = 8
 _SEEDS = seeds(SIZE, 1)
 _BAND_SEEDS = seeds(BANDS, 2)
 
@@ -150,22 +155,60 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return out
 
 
+def large_clusters(members: DataFrame) -> DataFrame:
+    """(cluster, parts, drawn): clusters beyond one block, in how many parts their members are spread, and of how many one is a leader."""
+    sizes = members.groupBy("cluster").agg(F.sum(F.size("set")).alias("w"), F.count(F.lit(1)).alias("m"))
+    parts = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
+    return sizes.withColumn("parts", parts).filter("parts > 1").select("cluster", "parts", F.greatest(F.lit(1).cast("long"), F.floor(F.col("m") / LEADERS)).alias("drawn"))
+
+
+def led(members: DataFrame, large: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """(cluster, a, b): the links of members of large clusters with the leaders of their cluster. A cluster is spread over its parts, with all leaders in each."""
+    spread = members.join(large, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    leaders = spread.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.col("drawn")) == 0).select(
+        "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("node").alias("leader"), F.col("set").alias("its"))
+    n, m = F.size("set"), F.size("its")
+    fit = (100 * n >= percent * m) & (100 * m >= percent * n) & (F.col("node") != F.col("leader"))
+    common = F.size(F.array_intersect("set", "its"))
+    pairs = spread.join(leaders, ["cluster", "part"]).filter(fit).filter(100 * common >= percent * (n + m - common))
+    return pairs.select("cluster", F.col("node").alias("a"), F.col("leader").alias("b"))
+
+
+def with_main(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with `main`: whether they are in the largest group that the leaders' links connect in their cluster."""
+    groups = components(links).withColumnRenamed("component", "group")
+    most = members.select("cluster", "node").join(groups, "node").groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("m"))
+    main = most.groupBy("cluster").agg(F.max(F.struct("m", "group")).alias("g")).select("g.group").withColumn("main", F.lit(True))
+    return members.join(groups.join(main, "group").select("node", "main"), "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
+
+
 def dealt(members: DataFrame) -> DataFrame:
-    """The members (cluster, node, set) once for each pair of blocks (cluster, b1, p1, b2, p2) they are compared in; second: as part of the second block."""
+    """The members (cluster, node, set, main) once for each pair of blocks (cluster, b1, p1, b2, p2) they are compared in; second: as part of the second block.
+    Blocks of main members come before those of others, and no two of them are a pair."""
     n = F.size("set")
+    members = members if "main" in members.columns else members.withColumn("main", F.lit(False))
     members = members.withColumn("size", n).withColumn("band", F.floor(F.log(n) / -np.log(LEAST_PERCENT / 100)).cast("int"))
-    weight = members.groupBy("cluster", "band").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("m"))
-    count = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
-    large = weight.groupBy("cluster").agg(F.sum("w").alias("total"), F.sum("m").alias("count"), F.map_from_entries(F.collect_list(F.struct(F.col("band"), count.alias("n")))).alias("parts"))
+    weight = members.groupBy("cluster", "band").agg(*[f(F.when(F.col("main") == own, c)).alias(f"{name}{own:d}") for own in (True, False) for name, f, c in (("w", F.sum, F.col("size")), ("m", F.count, F.lit(1)))])
+    blocks_of = lambda own: F.coalesce(F.greatest(F.ceil(F.col(f"w{own:d}") / BLOCK_SHINGLES), F.ceil(F.col(f"m{own:d}") / BLOCK_MEMBERS)), F.lit(0)).cast("int")
+    count = F.struct(blocks_of(True).alias("main"), blocks_of(False).alias("rest"))
+    total = lambda name: F.coalesce(F.col(f"{name}1"), F.lit(0)) + F.coalesce(F.col(f"{name}0"), F.lit(0))
+    large = weight.groupBy("cluster").agg(F.sum(total("w")).alias("total"), F.sum(total("m")).alias("count"), F.map_from_entries(F.collect_list(F.struct(F.col("band"), count.alias("n")))).alias("parts"))
     # parts: an entry for each size band of a cluster, and there are at most 43 bands for each factor of a thousand in size.
     placed = members.join(large, "cluster")
-    own = F.pmod(F.xxhash64("node", "size"), F.col("parts")[F.col("band")]).cast("int")
+    mine = F.col("parts")[F.col("band")]
+    spread = lambda parts: F.pmod(F.xxhash64("node", "size"), F.greatest(parts, F.lit(1)))
+    own = F.when(F.col("main"), spread(mine["main"])).otherwise(mine["main"] + spread(mine["rest"])).cast("int")
     placed = placed.withColumn("own", F.when((F.col("total") <= BLOCK_SHINGLES) & (F.col("count") <= BLOCK_MEMBERS), F.lit(-1)).otherwise(own))
 
+    def numbers(band):
+        """The blocks of a band that a member is compared with: all, or those of the others for a main member."""
+        main, rest = (F.coalesce(F.col("parts")[band][c], F.lit(0)) for c in ("main", "rest"))
+        first = F.when(F.col("main"), main).otherwise(F.lit(0))
+        return F.when(main + rest > first, F.sequence(first, main + rest - 1)).otherwise(F.array().cast("array<int>"))
+
     def blocks(band, lower: bool):
         """Keys of the block pairs with a band: own block first or second."""
-        count = F.coalesce(F.col("parts")[band], F.lit(0))
-        parts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        parts = numbers(band)
         mine, theirs = (F.col("band"), F.col("own")), band
         if lower:
             return F.transform(parts, lambda p: F.struct(theirs.alias("b1"), p.alias("p1"), mine[0].alias("b2"), mine[1].alias("p2"), F.lit(True).alias("second")))
@@ -173,7 +216,7 @@ def dealt(members: DataFrame) -> DataFrame:
 
     band = F.col("band")
     same = F.transform(
-        F.sequence(F.lit(0), F.col("parts")[band] - 1),
+        numbers(band),
         lambda p: F.struct(band.alias("b1"), F.least(p, F.col("own")).alias("p1"), band.alias("b2"), F.greatest(p, F.col("own")).alias("p2"), (p < F.col("own")).alias("second")),
     )
     alone = F.array(F.struct(F.lit(-1).alias("b1"), F.lit(-1).alias("p1"), F.lit(-1).alias("b2"), F.lit(-1).alias("p2"), F.lit(False).alias("second")))
@@ -221,7 +264,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 yield out.filter(full)
 
     members = cut(texts.mapInArrow(full_sets, "cluster long, node long, set array<long>"))
-    found = components(cut(verified(members)))
+    large = cut(large_clusters(members))
+    if large.isEmpty():
+        links = verified(members)
+    else:
+        links = cut(led(members, large).select("a", "b"))
+        links = verified(cut(with_main(members, links))).unionByName(links)
+    found = components(cut(links))
     named = classes.select("d", "node").join(found, "node", "left").select("d", F.coalesce("component", "node").alias("component"))
     named = rows.select("id", "n", "d").join(named, "d", "left")
     return named.select(
