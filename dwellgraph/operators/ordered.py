@@ -77,7 +77,7 @@ class Sliced(Whole):
         return summary.withColumnsRenamed({k: f"_k_{k}" for k in [*self.keys, SLICE]})
 
     def _join_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
-        on = [df[k] == carry[f"_k_{k}"] for k in [*self.keys, SLICE]]
+        on = [df[k].eqNullSafe(carry[f"_k_{k}"]) for k in [*self.keys, SLICE]]
         return df.join(carry, on, "left").drop(*[f"_k_{k}" for k in [*self.keys, SLICE]])
 
     def neighbours(self, df, order, prev=None, next=None):
@@ -133,7 +133,7 @@ class Sliced(Whole):
             .filter("_slices > 1").drop("_slices")
             .withColumnsRenamed({k: f"_k_{k}" for k in keys})
         )
-        joined = local.join(spanning, [local[k] == spanning[f"_k_{k}"] for k in keys], "left")
+        joined = local.join(spanning, [local[k].eqNullSafe(spanning[f"_k_{k}"]) for k in keys], "left")
         return (
             joined.withColumns({n: F.coalesce(F.col(f"_c_{n}"), F.col(n)) for n, _, _ in specs})
             .drop(*[f"_k_{k}" for k in keys], *[f"_c_{n}" for n, _, _ in specs])
@@ -170,16 +170,17 @@ def split_hot(df: DataFrame, keys: list[str], order: list[str], hot_rows: int |
     n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not n_hot:
         return df, None
-    hot = cut(hot.select(*keys))
+    hot = cut(hot.select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
     if n_hot <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     slices = -(-int(n_rows) // hot_rows) + 1
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]  # a null key may be a hot one
     rows = (
-        df.join(hot, keys, "left_semi")
+        df.join(hot, same, "left_semi")
         .repartitionByRange(slices, *keys, *order)
         .withColumns({SLICE: F.spark_partition_id(), ROW: F.monotonically_increasing_id()})
     )
-    return df.join(hot, keys, "left_anti"), cut(rows)
+    return df.join(hot, same, "left_anti"), cut(rows)
 
 
 def per_key(

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import math
 
-from ..functions.geo import PI_RAW, RADIUS_RAW_KM, RADIUS_ROUNDED_KM
-from ..functions.text import KEPT
-from ..operators.places import DETAIL_COLUMNS
 from . import tables as T
 
+# Fixed values, stated here again so that the SQL does not follow the code: radii and pi of the two distances, characters that an encoded request
+# keeps, and the columns of place details.
+RADIUS_ROUNDED_KM = 6371.0
+RADIUS_RAW_KM = 6370.99681
+PI_RAW = 3.1415926
+KEPT = "/:=&?#+!$,;'@()*[]"
+DETAIL_COLUMNS = [
+    "uid", "name", "lng", "lat", "city", "area", "tag", "overall_rating", "shop_hours", "price", "level", "scope_grade", "telephone", "content_tag",
+]
 
 def _with(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
@@ -434,7 +440,7 @@ FROM (SELECT *, ((row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 1024
     q["walks_directed"] = _with(DIRECTED + [ONE_GRAPH], "").rstrip() + "," + _walks(2, 10, 2.0, 0.5, seed=3)
     q["walks_thresholds"] = _with(GRAPH + MANY_GRAPHS, "").rstrip() + "," + _walks(1, 10)
     for name, size in (("embeddings", 32), ("embed_graph", 128)):
-        q[name] = _with(GRAPH, f"SELECT DISTINCT unnest([src, dst]) AS node, {size} AS dimensions, true AS finite, true AS nonzero FROM g")
+        q[name] = _with(GRAPH, f"SELECT DISTINCT unnest([src, dst]) AS node, {size} AS dimensions, true AS finite, true AS nonzero, true AS neighbours_closer FROM g")
     q["location_keys_exact"] = """SELECT c_custkey, printf('%.6f', ((c_custkey * 104729 % 400000) * 10 + 5)::DOUBLE / 1e7::DOUBLE - 0.02::DOUBLE) || ',' ||
 printf('%.6f', 110.0::DOUBLE + (c_custkey * 7919 % 20000000)::DOUBLE / 1e7::DOUBLE) AS location_key FROM customer"""
     q["embedding_lines"] = """SELECT vec_id || ' ' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ' ') AS value

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dwellgraph import defaults
 from dwellgraph.operators import graph as G
-from dwellgraph.operators import triangles, walks as W
+from dwellgraph.operators import embedding, triangles, walks as W
 from dwellgraph.operators.embedding import embed_walks
 from dwellgraph.plans.embedding import EmbeddingConfig, embed_graph
 
@@ -216,20 +216,45 @@ def test_exact_draw_frequencies(spark):
     assert all(abs(third.get(n, 0) / total - x / 2.27) < 0.04 for n, x in want.items())
 
 
+def test_pairs_near_each_other(spark):
+    paths = [[1, 2, 3, 2, 5], [4], [1, 1, 2]]
+    want = {}
+    for p in paths:
+        for i in range(len(p)):
+            for j in range(len(p)):
+                if 0 < abs(i - j) <= 3:
+                    want[p[i], p[j]] = want.get((p[i], p[j]), 0) + 4 - abs(i - j)
+    walks = spark.createDataFrame([(p,) for p in paths], "path array<long>")
+    assert {(r.node, r.other): r.n for r in embedding.node_pairs(walks, 3).collect()} == want
+
+
 def test_embeddings_put_neighbours_closer(spark):
-    ring = [(b + i, b + j, 1) for b in (0, 10) for i in range(6) for j in range(i)]
-    g = G.build_graph(edges(spark, ring + [(0, 10, 1)]))
-    w = W.random_walks(g, num_walks=30, walk_length=20, seed=1)
-    v = {r.node: r.vector for r in embed_walks(w, dimensions=16, window_size=3, epochs=3, workers=1, seed=1).collect()}
-    assert len(v) == 12 and all(len(x) == 16 for x in v.values())
-
-    def cosine(a, b):
-        dot = sum(x * y for x, y in zip(v[a], v[b]))
-        return dot / (sum(x * x for x in v[a]) * sum(y * y for y in v[b])) ** 0.5
-
-    inside = [cosine(a, b) for a in range(1, 6) for b in range(1, a)]
-    across = [cosine(a, b) for a in range(1, 6) for b in range(11, 16)]
-    assert sum(inside) / len(inside) > sum(across) / len(across)
+    ring = [(b + i, b + j, 1) for b in (0, 100) for i in range(20) for j in range(i)]
+    g = G.build_graph(edges(spark, ring + [(0, 100, 1)]))
+    w = W.random_walks(g, num_walks=10, walk_length=20, seed=1).cache()
+
+    def gap(**options):
+        v = {r.node: r.vector for r in embed_walks(w, dimensions=16, window_size=3, seed=1, **options).collect()}
+        assert len(v) == 40 and all(len(x) == 16 for x in v.values())
+
+        def cosine(a, b):
+            dot = sum(x * y for x, y in zip(v[a], v[b]))
+            return dot / (sum(x * x for x in v[a]) * sum(y * y for y in v[b])) ** 0.5
+
+        inside = [cosine(b + i, b + j) for b in (0, 100) for i in range(20) for j in range(i)]
+        across = [cosine(a, b) for a in range(20) for b in range(100, 120)]
+        return sum(inside) / len(inside) - sum(across) / len(across)
+
+    assert abs(gap(epochs=0)) < 0.3  # nothing is learned without training
+    assert gap(epochs=4, workers=1) > 0.7 and gap(epochs=4, workers=3) > 0.4  # in one block and in buckets of three
+
+
+def test_embeddings_do_not_depend_on_partitions(spark, random_edges):
+    g = G.build_graph(edges(spark, [(a, b, w) for (a, b), w in random_edges.items()]))
+    w = W.random_walks(g, num_walks=4, walk_length=10, seed=1)
+    one, two = ({r.node: r.vector for r in embed_walks(x, dimensions=8, window_size=2, workers=4, block_nodes=3).collect()} for x in (w, w.repartition(5)))
+    assert one == two and len(one) > 5 and all(any(x) for x in one.values())
+    assert embed_walks(w.limit(0)).count() == 0
 
 
 def test_unweighted_pipeline_has_empty_threshold_graphs(spark):

@@ -244,3 +244,15 @@ def test_scores_of_many_cells_against_definition(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
         assert {r.user: r.cid for r in pingpong.collapse_pingpong(df, hot_rows=hot).collect()} == best
     assert best["v"] == "A"
+
+
+def test_a_hot_null_user_is_split(spark):
+    rows = [(None, *r[1:]) if r[0] == "u0" else r for r in random_stays(12, users=3, n=50, pause=(0, 4000))]
+    df = spark.createDataFrame([r[:7] for r in rows], STAY)
+    from dwellgraph.operators import ordered
+
+    cold, hot = ordered.split_hot(df, ["user"], S.STAY_ORDER, 70)
+    assert cold.filter("user is null").count() == 0 and hot.select("_slice").distinct().count() > 1 and hot.filter("user is not null").count() == 0
+    for step in (lambda h: S.merge_stays(df, 2000, hot_rows=h), lambda h: S.segment(df, 900, hot_rows=h), lambda h: drift.remove_drift(df, hot_rows=h)):
+        whole, sliced = step(None), step(70)
+        assert whole.exceptAll(sliced).isEmpty() and sliced.exceptAll(whole).isEmpty()
