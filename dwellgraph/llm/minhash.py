@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..defaults import BROADCAST_ROWS
 from ..session import cut
 from .batches import U64, mix, ngram_hashes, seeds, slices, texts_of, word_hashes
 from .components import components
@@ -174,12 +175,15 @@ def led(members: DataFrame, large: DataFrame, percent: int = LEAST_PERCENT) -> D
     return pairs.select("cluster", F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
-def with_main(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with `main`: whether they are in the largest group that the leaders' links connect in their cluster."""
+def with_main(members: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """members with `main`: whether they are in the largest group that the leaders' links connect in their cluster. Only members of large clusters are moved."""
     groups = components(links).withColumnRenamed("component", "group")
     most = members.select("cluster", "node").join(groups, "node").groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("m"))
     main = most.groupBy("cluster").agg(F.max(F.struct("m", "group")).alias("g")).select("g.group").withColumn("main", F.lit(True))
-    return members.join(groups.join(main, "group").select("node", "main"), "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    flags = groups.join(main, "group").select("node", "main")
+    among = members.join(large.select("cluster"), "cluster", "left_semi").join(flags, "node", "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    others = members.join(large.select("cluster"), "cluster", "left_anti").withColumn("main", F.lit(False))
+    return among.unionByName(others)
 
 
 def dealt(members: DataFrame) -> DataFrame:
@@ -265,11 +269,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     members = cut(texts.mapInArrow(full_sets, "cluster long, node long, set array<long>"))
     large = cut(large_clusters(members))
-    if large.isEmpty():
+    n_large = large.count()  # at most one for each BLOCK_SHINGLES shingles or BLOCK_MEMBERS members
+    if not n_large:
         links = verified(members)
     else:
+        large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
         links = cut(led(members, large).select("a", "b"))
-        links = verified(cut(with_main(members, links))).unionByName(links)
+        links = verified(with_main(members, large, links)).unionByName(links)
     found = components(cut(links))
     named = classes.select("d", "node").join(found, "node", "left").select("d", F.coalesce("component", "node").alias("component"))
     named = rows.select("id", "n", "d").join(named, "d", "left")

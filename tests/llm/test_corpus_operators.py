@@ -330,8 +330,9 @@ def test_work_on_a_group_of_near_copies_grows_with_its_size(spark, monkeypatch):
         rows = [(1, k, sorted({*base[:58], r.randrange(2**40), r.randrange(2**40)})) for k in range(n)]
         rows += [(1, n + k, sorted(r.randrange(2**40) for _ in range(60))) for k in range(20)]  # candidates that are like nothing
         members = spark.createDataFrame(rows, "cluster long, node long, set array<long>")
-        links = minhash.led(members, minhash.large_clusters(members)).select("a", "b")
-        return minhash.dealt(minhash.with_main(members, links)).count()
+        large = minhash.large_clusters(members)
+        links = minhash.led(members, large).select("a", "b")
+        return minhash.dealt(minhash.with_main(members, large, links)).count()
 
     small, big = sets_dealt(1500), sets_dealt(6000)
     assert big < 4.5 * small and big < 3 * 6000  # all pairs of blocks would be 16 times as many
