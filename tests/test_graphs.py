@@ -121,7 +121,7 @@ def test_walk_invariants(spark, random_edges):
 
 def test_joined_walks_equal_broadcast_walks(spark, random_edges, monkeypatch):
     g = G.build_graph(edges(spark, [(a, b, w) for (a, b), w in random_edges.items()]), directed=True)
-    options = dict(num_walks=2, walk_length=6, p=2.0, q=0.5, seed=5)
+    options = dict(num_walks=2, walk_length=4, p=2.0, q=0.5, seed=5)
     small = W.random_walks(g, **options)
     monkeypatch.setattr(defaults, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, W.random_walks(g, **options).collect()))
