@@ -319,20 +319,3 @@ def test_pipeline_runs_on_empty_and_odd_tables(spark, documents, odd_rows, tmp_p
         spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r.doc_id for r in got} == ({None, 4, 5, 6, 8} if rows else set())
-
-
-def test_work_on_a_group_of_near_copies_grows_with_its_size(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 10_000)
-    r = random.Random(21)
-    base = [r.randrange(2**40) for _ in range(60)]
-
-    def sets_dealt(n):
-        rows = [(1, k, sorted({*base[:58], r.randrange(2**40), r.randrange(2**40)})) for k in range(n)]
-        rows += [(1, n + k, sorted(r.randrange(2**40) for _ in range(60))) for k in range(20)]  # candidates that are like nothing
-        members = spark.createDataFrame(rows, "cluster long, node long, set array<long>")
-        large = minhash.large_clusters(members)
-        links = minhash.led(members, large).select("a", "b")
-        return minhash.dealt(minhash.with_main(members, large, links)).count()
-
-    small, big = sets_dealt(1500), sets_dealt(6000)
-    assert big < 4.5 * small and big < 3 * 6000  # all pairs of blocks would be 16 times as many
