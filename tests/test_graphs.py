@@ -201,6 +201,34 @@ def test_triangles_in_cells(spark, random_edges):
     assert triangles.triangles(arcs.limit(0), ["graph"]).count() == 0
 
 
+def test_lists_sent_for_triangles_grow_with_the_arcs(spark):
+    """Neighbours on a ring: whatever the number of arcs, an arc takes part in the same few rows that are exchanged; none is dealt to more and more cells."""
+    def exchanged(n):
+        arcs = spark.range(n).select(F.lit(0).alias("graph"), F.col("id").alias("lo"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 3)).alias("hi"))
+        arcs = arcs.withColumns({"out": F.lit(1.0), "back": F.lit(1.0)})
+        own, sent = triangles.lists(arcs, ["graph"])
+        assert triangles.triangles(arcs, ["graph"]).count() == 3 * n - 4
+        return own.count() + sent.count()
+
+    assert exchanged(2000) == 2 * exchanged(1000) == 2000 * 3
+    hub = spark.range(1, 1001).select(F.lit(0).alias("graph"), F.lit(0).cast("long").alias("lo"), F.col("id").alias("hi"), F.lit(1.0).alias("out"), F.lit(1.0).alias("back"))
+    own, sent = triangles.lists(hub, ["graph"], 100)
+    assert {r.n for r in own.select(F.size("own").alias("n")).collect()} == {100} and sent.agg(F.max(F.size("sent"))).first()[0] == 100
+    assert sent.agg(F.sum(F.size("sent"))).first()[0] == 1000 * 999 // 2
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_all_steps_after_edges(spark, random_edges, directed):
+    """Without named neighbours: the probability of every step, and none of them goes through an exchange."""
+    g = G.build_graph(edges(spark, [(a, b, w) for (a, b), w in random_edges.items()]), directed=directed).cache()
+    want = naive_second_order({(r.src, r.dst): r.weight for r in g.collect()}, 0.25, 4.0)
+    found = G.step_probabilities(g.select("src", "dst"), g, G.edge_transitions(g, 0.25, 4.0))
+    got = {(r.src, r.dst, r.nbr): r.prob for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
+
+
 def test_exact_draw_frequencies(spark):
     """Steps with strong biases."""
     g = G.build_graph(edges(spark, [(0, 1, 1), (0, 2, 2), (0, 3, 5), (1, 2, 1)]))
