@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellgraph.functions.text import KEPT, six_decimals
 from dwellgraph.operators import places as P
+from dwellgraph.operators import spread
 from dwellgraph.operators.meetings import meetings
 from dwellgraph.sources import lines as L
 from dwellgraph.sources import sinks
@@ -173,3 +174,15 @@ def test_meetings_of_long_stays_and_gaps(spark):
         for hot in (None, 2):
             assert {(r.src, r.dst): r.weight for r in meetings(df, max_gap_s=gap, hot_rows=hot).collect()} == want
     assert meetings(df.limit(0)).count() == 0
+
+
+def test_tasks_of_a_join_grow_with_its_pairs(spark, monkeypatch):
+    """Rows that are few in bytes but make many pairs are not put into a task or two."""
+    many = spark.range(2000).select((F.col("id") % 50).alias("k"), F.col("id").alias("a"))
+    few = spark.range(500).select((F.col("id") % 50).alias("k"), F.col("id").alias("b"))
+    want = sorted((a % 50, a, b) for a in range(2000) for b in range(500) if a % 50 == b % 50)
+    monkeypatch.setattr(spread, "PAIRS_PER_TASK", 500)
+    for hot_rows in (1_000_000, 5):  # without and with hot keys
+        joined = spread.spread_join(many, few, ["k"], hot_rows=hot_rows)
+        assert sorted(map(tuple, joined.collect())) == want
+        assert joined.rdd.getNumPartitions() >= 40
