@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.clock import parse_stamp
+from .sinks import BUCKETS
 
 LINE = "_line"
+FILES_AT_ONCE = 1000
 
 
 def read_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
@@ -131,10 +133,35 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
 def read_responses(spark: SparkSession, path: str, key: str = "location_key", encoded: bool = False) -> DataFrame:
     """Stored JSON responses, one document per file, keyed by the file name without its extension.
 
-    Spark gives file names percent-encoded, so they are decoded; with encoded, the names themselves are too, as `write_responses` writes them.
+    Spark gives file names percent-encoded, so they are decoded. With encoded, the folder is one that `write_responses` wrote: the names themselves are encoded,
+    and tasks list and read its subfolders, and files in the folder itself, without the driver.
     """
-    def decoded(name: Column) -> Column:
-        return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))  # a plus is not a space here
-
-    name = decoded(F.regexp_replace(F.col("_metadata.file_name"), "\\.[^.]*$", ""))
-    return spark.read.text(path, wholetext=True).select((F.url_decode(name) if encoded else name).alias(key), "value")
+    stem = lambda name: F.regexp_replace(name, "\\.[^.]*$", "")
+    if encoded:
+        # Spark's reader would list all files in the driver, and pack few of them into a task, as it counts megabytes for opening one.
+        places = spark.range(0, BUCKETS + 1, 1, BUCKETS + 1)
+        return places.mapInArrow(_stored_in(path), "name string, value string").select(F.url_decode(stem("name")).alias(key), "value")
+    name = F.replace(stem(F.col("_metadata.file_name")), F.lit("+"), F.lit("%2B"))  # a plus is not a space here
+    return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias(key), "value")
+
+
+def _stored_in(folder: str):
+    """Names and texts of the files in the subfolders with the given numbers; the last number stands for the folder itself."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, place = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                within = f"{place}/{bucket:03d}" if bucket < BUCKETS else place
+                held = [f.path for f in files.get_file_info(fs.FileSelector(within, allow_not_found=True)) if f.is_file and f.base_name[0] not in "._"]
+                for start in range(0, len(held), FILES_AT_ONCE):
+                    values = []
+                    for name in held[start : start + FILES_AT_ONCE]:
+                        with files.open_input_stream(name) as text:
+                            values.append(text.read().decode("utf-8", "replace"))
+                    names = [name.rsplit("/", 1)[1] for name in held[start : start + FILES_AT_ONCE]]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+
+    return run

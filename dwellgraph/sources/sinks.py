@@ -51,27 +51,34 @@ def write_embeddings(vectors: DataFrame, path: str, single_file: bool = False) -
     lines.select("value").write.mode("overwrite").text(path)
 
 
+BUCKETS = 512
+
+
 def write_responses(responses: DataFrame, folder: str, key: str = "location_key") -> None:
     """Responses (key, value) as a file each, named by the percent-encoded key, in a folder that driver and executors share. Of rows with one key any is kept;
-    a file is moved into place when it is whole, so a task that runs again replaces its files by the same."""
+    a file is moved into place when it is whole, so a task that runs again replaces its files by the same. Files lie in BUCKETS subfolders by their names, which
+    `read_responses` lists and reads in tasks of their own."""
     name = F.concat(F.url_encode(F.col(key).cast("string")), F.lit(".json"))
 
     def run(batches):
         from pyarrow import fs
 
-        place = None
+        files, place = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        made = set()
         for batch in batches:
-            for name, value in zip(*(batch.column(c).to_pylist() for c in ("name", "value"))):
-                if place is None:
-                    files, place = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-                    files.create_dir(place, recursive=True)
-                own = f"{place}/.{uuid.uuid4().hex}"
+            for bucket, name, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "name", "value"))):
+                within = f"{place}/{bucket:03d}"
+                if bucket not in made:
+                    files.create_dir(within, recursive=True)
+                    made.add(bucket)
+                own = f"{within}/.{uuid.uuid4().hex}"
                 with files.open_output_stream(own) as out:
                     out.write(value.encode())
-                files.move(own, f"{place}/{name}")
+                files.move(own, f"{within}/{name}")
         return iter(())
 
     named = responses.select(name.alias("name"), F.col("value")).dropna().dropDuplicates(["name"])
+    named = named.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(BUCKETS)).cast("int"))
     named.mapInArrow(run, "done boolean").write.format("noop").mode("overwrite").save()
 
 

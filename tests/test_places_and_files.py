@@ -155,6 +155,18 @@ def test_stored_responses(spark, tmp_path):
     assert {(r.location_key, r.value) for r in L.read_responses(spark, folder, encoded=True).collect()} == {("a/b 1.2", "{1}"), ("é", "{2}"), ("x", "{3}\n{4}")}
 
 
+def test_stored_responses_are_listed_by_tasks(spark, tmp_path):
+    """No folder holds all files, and no file is a split of Spark's reader; files beside the subfolders are read too."""
+    folder = tmp_path / "many"
+    rows = spark.range(3000).select(F.concat(F.lit("k "), F.col("id").cast("string")).alias("location_key"), F.col("id").cast("string").alias("value"))
+    sinks.write_responses(rows, str(folder))
+    (folder / "own+key.json").write_text("{}")
+    assert not [p for p in folder.iterdir() if p.is_file() and p.name != "own+key.json"] and max(len(list(p.iterdir())) for p in folder.iterdir() if p.is_dir()) < 60
+    found = L.read_responses(spark, str(folder), encoded=True)
+    assert {(r.location_key, r.value) for r in found.collect()} == {(f"k {i}", str(i)) for i in range(3000)} | {("own key", "{}")}
+    assert "Scan text" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tree_nodes_cover_each_bucket_once(spark):
     from dwellgraph.operators.meetings import covering
 
