@@ -172,6 +172,22 @@ def test_hub_walks_meet_few_rows(spark):
     assert third.count() > 90_000 and third.filter("n = start").count() < 20  # 1 of 9,999,900 by mass
 
 
+def test_second_order_where_no_other_neighbours_are_left(spark):
+    """In a triangle all neighbours are known; a place that rounding puts below the others' mass of zero is no division by it."""
+    rows = [(0, s, d, *((0.0, 0.3 + 1e-9) if first else (0.3, 1.0)), 2) for s in range(3) for first, d in zip((True, False), sorted({0, 1, 2} - {s}))]
+    placed = spark.createDataFrame(rows, "graph int, src long, dst long, lo double, hi double, deg long")
+    states, _, index = W.second_order(placed, 0.5)
+    assert {r.far for r in states.collect()} == {0.0} and {r.kind for r in index.collect()} == {W.NEAR}
+
+
+def test_null_weights_are_never_drawn(spark):
+    e = spark.createDataFrame([(0, 1, None), (0, 2, 1.0), (0, 3, 3.0), (0, 4, None)], EDGES)
+    drawn = {r.n: r["count"] for r in W.random_walks(e, num_walks=2000, walk_length=2, seed=1).filter("start = 0").groupBy(F.element_at("path", 2).alias("n")).count().collect()}
+    assert set(drawn) == {2, 3} and abs(drawn[2] / 2000 - 0.25) < 0.04
+    rows = W.rows_of_bins(spark.createDataFrame([(0, 7, 0, i / 200, (i + 1) / 200, i, 1) for i in range(200)], "graph int, src long, bin long, lo double, hi double, dst long, bins long"))
+    assert sorted(len(r.nexts) for r in rows.collect()) == [8, 64, 64, 64]
+
+
 def test_second_order_index_frequencies(spark):
     """Common neighbours and others between them, with unequal weights and a dead end, against the definition."""
     star = [(0, k, 1 + k % 3) for k in range(1, 30)]
