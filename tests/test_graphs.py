@@ -233,6 +233,14 @@ def test_lists_sent_for_triangles_grow_with_the_arcs(spark):
     assert sent.agg(F.sum(F.size("sent"))).first()[0] == 1000 * 999 // 2
 
 
+def test_lists_sent_for_triangles_are_ids(spark):
+    """Most entries sent close no triangle, so weights, which may be structs, are not sent along with them."""
+    arcs = spark.createDataFrame([(0, 1, (0.5, 1.0), None), (0, 2, (1.5, 2.0), (3.0, 4.0)), (1, 2, None, (5.0, 6.0))], "lo long, hi long, out struct<a:double,b:double>, back struct<a:double,b:double>")
+    _, sent = triangles.lists(arcs, [])
+    assert sent.schema["sent"].dataType.simpleString() == "array<bigint>"
+    assert [tuple(r) for r in triangles.triangles(arcs, []).collect()] == [(0, 1, 2, (0.5, 1.0), None, (1.5, 2.0), (3.0, 4.0), None, (5.0, 6.0))]
+
+
 @pytest.mark.parametrize("directed", [False, True])
 def test_all_steps_after_edges(spark, random_edges, directed):
     """Without named neighbours: the probability of every step, and none of them goes through an exchange."""
