@@ -188,6 +188,31 @@ def test_meetings_of_long_stays_and_gaps(spark):
     assert meetings(df.limit(0)).count() == 0
 
 
+def test_meetings_counted_by_blocks_of_users(spark, monkeypatch):
+    """Many stays near each other are counted by pairs of blocks of users, without a join or a count of rows; small blocks and parts, equal starts, nulls."""
+    from dwellgraph.operators import meetings as M
+
+    rows = random_stays(6, users=9, n=30, cells=2, pause=(0, 60))
+    rows += [(f"u{k}", "0", 110.0, 20.0, at(5), at(5 + k), k, 1) for k in range(9)] + [("é", "1", 110.0, 20.0, at(0), at(900), 900, 1), ("z", "1", 110.0, 20.0, at(9), at(3), -6, 1)]
+    lost = [(None, "0", 110.0, 20.0, at(0), at(9), 9), ("u1", None, 110.0, 20.0, at(0), at(9), 9), ("u2", "0", 110.0, 20.0, at(0), None, 9)]
+    df = spark.createDataFrame([r[:7] for r in rows] + lost, STAY)
+    monkeypatch.setattr(M, "PAIRS_FOR_A_ROW", 0)
+    monkeypatch.setattr(M, "PAIRS_AT_ONCE", 16)
+    for least, gap, users, hot in ((0, 0, 3, None), (3, 0, 3, 1000), (0, 70, 5, None), (0, 70, 100, None), (0, 0, 1, 3)):
+        monkeypatch.setattr(M, "BLOCK_USERS", users)
+        want = {}
+        for x in rows:
+            for y in rows:
+                a, b = sorted((x, y), key=lambda r: (r[4], r[0]))
+                near = (b[4] - a[5]).total_seconds() <= gap if gap else (min(x[5], y[5]) - max(x[4], y[4])).total_seconds() >= least
+                if x[0] < y[0] and x[1] == y[1] and near and x[6] >= 0 and y[6] >= 0:
+                    want[x[0], y[0]] = want.get((x[0], y[0]), 0) + 1
+        found = meetings(df, min_overlap_s=least, max_gap_s=gap, hot_rows=hot)
+        assert {(r.src, r.dst): r.weight for r in found.collect()} == want and found.count() == len(want)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("Join" in plan) == (hot == 3)  # blocks too large for a task: the join
+
+
 def test_tasks_of_a_join_grow_with_its_pairs(spark, monkeypatch):
     """Rows that are few in bytes but make many pairs are not put into a task or two."""
     many = spark.range(2000).select((F.col("id") % 50).alias("k"), F.col("id").alias("a"))
