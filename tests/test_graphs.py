@@ -188,6 +188,29 @@ def test_null_weights_are_never_drawn(spark):
     assert sorted(len(r.nexts) for r in rows.collect()) == [8, 64, 64, 64]
 
 
+def test_bins_are_runs_of_intervals(spark):
+    """The same intervals in the same bins as those of the sampling table, with a hub, an edge over many bins, null weights and ends; the
+    intervals, which are sorted by their node, are neither exchanged nor grouped again."""
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(2), rnd.randrange(12), rnd.randrange(300), rnd.choice([None, 0.0, 1.0, 2.5])) for _ in range(3000)]
+    rows += [(0, 50, i, 1e5 if i == 100 else 1.0) for i in range(500)] + [(1, 60, None, 2.0), (1, 60, 5, 1.0), (1, None, 5, 1.0), (1, 70, 5, None)]
+    g = spark.createDataFrame(list({r[:3]: r for r in rows}.values()), "graph int, src long, dst long, weight double")
+    sizes = W._bins(g)
+
+    def listed(table):
+        out = {}
+        for r in table.collect():
+            assert len(r.ends) <= W.INTERVALS_IN_ROW and r.hi == r.ends[-1] and r.ends == sorted(r.ends)
+            out.setdefault((r.graph, r.src, r.bin), []).extend(zip(r.ends, r.nexts, r.sizes))
+        return {k: sorted(v, key=str) for k, v in out.items()}
+
+    for hot, edges_ in ((None, g), (100, g.filter("weight IS NOT NULL"))):
+        found = W.bins_of_intervals(W.intervals(W._sized(edges_, sizes, "weight"), hot))
+        assert listed(found) == listed(W.rows_of_bins(W.sampling_table(W.intervals(edges_), sizes)))
+    plan = W.bins_of_intervals(W.intervals(g.withColumn("bins", F.lit(1).cast("long")), None))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
 def test_second_order_index_frequencies(spark):
     """Common neighbours and others between them, with unequal weights and a dead end, against the definition."""
     star = [(0, k, 1 + k % 3) for k in range(1, 30)]
