@@ -332,6 +332,15 @@ def test_embeddings_do_not_depend_on_partitions(spark, random_edges):
     assert embed_walks(w.limit(0)).count() == 0
 
 
+def test_pairs_are_stored_as_columns(spark, monkeypatch):
+    """The pairs, by far the most rows of an embedding, and the walks are not rows of a checkpoint, which takes several times the disk."""
+    checkpoints = []
+    monkeypatch.setattr(embedding, "cut", lambda df, f=embedding.cut: (checkpoints.append(set(df.columns)), f(df))[1])
+    walks = spark.createDataFrame([([1, 2, 3, 2],), ([4, 1],), (None,)], "path array<long>")
+    assert embed_walks(walks, dimensions=4, window_size=2, workers=2).count() == 4
+    assert not any({"other", "path"} & columns for columns in checkpoints)
+
+
 def test_unweighted_pipeline_has_empty_threshold_graphs(spark):
     e = edges(spark, [(1, 2, 9), (2, 3, 9)])
     v = embed_graph(e, EmbeddingConfig(num_walks=2, walk_length=4, dimensions=8, workers=1))
