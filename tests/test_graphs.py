@@ -180,6 +180,16 @@ def test_second_order_where_no_other_neighbours_are_left(spark):
     assert {r.far for r in states.collect()} == {0.0} and {r.kind for r in index.collect()} == {W.NEAR}
 
 
+def test_second_order_walks_with_null_weights_are_not_doubled(spark):
+    """Places of null and of real length that are equal have one order, whatever order the rows come in; no two ways of an edge's index hold the same place."""
+    rows = [(0, s, d, w) for s in range(6) for d, w in ((k, None if (s + k) % 3 == 0 else 1.0 + k) for k in range(6) if k != s)]
+    for order in (F.col("dst"), -F.col("dst"), F.xxhash64("dst")):
+        g = spark.createDataFrame(rows, "graph int, src long, dst long, weight double").orderBy(order)
+        _, _, index = W.second_order(W.intervals(g).orderBy(order), 0.5)
+        other = index.select(*index.columns[:5], F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        assert index.join(other, index.columns[:5]).filter("lo < lo2 AND lo2 < hi").isEmpty()
+
+
 def test_null_weights_are_never_drawn(spark):
     e = spark.createDataFrame([(0, 1, None), (0, 2, 1.0), (0, 3, 3.0), (0, 4, None)], EDGES)
     drawn = {r.n: r["count"] for r in W.random_walks(e, num_walks=2000, walk_length=2, seed=1).filter("start = 0").groupBy(F.element_at("path", 2).alias("n")).count().collect()}
