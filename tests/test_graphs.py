@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +316,43 @@ def test_pairs_near_each_other(spark):
     assert {(r.node, r.other): r.n for r in embedding.node_pairs(walks, 3).collect()} == want
 
 
+def test_pairs_are_packed_by_node(spark, monkeypatch):
+    """Pairs are no rows: what is stored grows with the nodes times the blocks, however many pairs the walks hold."""
+    rnd, rows = random.Random(5), []
+    walks = spark.createDataFrame([([rnd.randrange(60) for _ in range(80)],) for _ in range(40)], "path array<long>")
+    kept = lambda df, *by, f=embedding.stored: (rows.append((x := f(df, *by)).count()), x)[1]
+    monkeypatch.setattr(embedding, "stored", kept)
+    assert embed_walks(walks, dimensions=4, window_size=10, workers=3).count() == 60
+    assert max(rows) <= 60 * 3  # of about 60 * 60 pairs
+
+
+def test_pairs_in_pieces_and_cells(monkeypatch):
+    """The same pairs come from many cells, blocks and pieces, for ids of any size, null ids and null, empty and very short walks."""
+    rnd = random.Random(6)
+    ids = [None, 0, 1, 2, -5, 2**62, -(2**62), *range(1000, 1008)]
+    paths = [[rnd.choice(ids[: rnd.choice((3, 15))]) for _ in range(rnd.randrange(30))] for _ in range(40)] + [None, [], [7]]
+    want = {}
+    for p in paths:
+        p = [embedding.NO_NODE if x is None else x for x in p or []]
+        for i, a in enumerate(p):
+            for j in range(max(0, i - 4), min(len(p), i + 5)):
+                if i != j:
+                    want[a, p[j]] = want.get((a, p[j]), 0) + 5 - abs(i - j)
+    walks = pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.list_(pa.int64()))})
+    for blocks, parts, places in ((1, 1, 1 << 18), (3, 1, 7), (2, 4, 40), (1, 1, 7)):
+        monkeypatch.setattr(embedding, "PLACES_AT_ONCE", places)
+        sent = pa.Table.from_batches(embedding._sent(4, blocks, parts)(iter([walks, walks.slice(0, 0)])))
+        got = {}
+        for cell in range(blocks * parts):
+            for batch in embedding._counted(4, blocks)(iter(sent.filter(pc.field("cell") == cell).to_batches())):
+                for r in batch.to_pylist():
+                    others, n = embedding._others(r)
+                    assert r["total"] == n.sum() and {r["bucket"]} == set(embedding._blocks(np.array([r["node"]]), blocks))
+                    assert {(r["bucket"] + r["turn"]) % blocks} == set(embedding._blocks(others, blocks))
+                    got.update({(r["node"], o): got.get((r["node"], o), 0) + k for o, k in zip(others.tolist(), n.tolist())})
+        assert got == want
+
+
 def test_embeddings_put_neighbours_closer(spark):
     ring = [(b + i, b + j, 1) for b in (0, 100) for i in range(20) for j in range(i)]
     g = G.build_graph(edges(spark, ring + [(0, 100, 1)]))
