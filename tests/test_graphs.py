@@ -277,6 +277,15 @@ def test_lists_sent_for_triangles_are_ids(spark):
     assert [tuple(r) for r in triangles.triangles(arcs, []).collect()] == [(0, 1, 2, (0.5, 1.0), None, (1.5, 2.0), (3.0, 4.0), None, (5.0, 6.0))]
 
 
+def test_frames_of_edges_are_never_broadcast(spark, random_edges):
+    """Their files are small enough here, but a row on the driver takes many times the bytes it has in one."""
+    g = G.build_graph(edges(spark, [(a, b, w) for (a, b), w in random_edges.items()]), directed=True)
+    t = G.edge_transitions(g, p=0.5, q=2.0)
+    for found in (G.closing_edges(g), G.near_neighbours(g), t):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("directed", [False, True])
 def test_all_steps_after_edges(spark, random_edges, directed):
     """Without named neighbours: the probability of every step, and none of them goes through an exchange."""
