@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from dwellgraph.operators import drift, pingpong, regions
 from dwellgraph.operators import stays as S
 from dwellgraph.plans.cleaning import CleaningConfig, clean_traces
+from dwellgraph.session import cut
 from helpers import STAY, at, by_user, naive_drift, naive_regions, pieces, random_stays, seconds, stays
 
 NEAR = {"A": 0, "B": 1, "C": 2, "D": 3, "E": 3.5, "X": 50, "Y": 100, "Z": 200}
@@ -156,6 +157,14 @@ def test_pipeline_does_not_depend_on_slices_or_partitions(spark):
     assert one.exceptAll(whole).isEmpty() and whole.exceptAll(one).isEmpty()
 
 
+def test_reckoned_sizes_do_not_multiply_through_checkpoints(spark):
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(k, 1.0) for k in range(20)]), "id long, v double")
+    for _ in range(5):
+        df = cut(df.join(df.withColumnRenamed("v", "w").hint("merge"), "id").select("id", (F.col("v") + F.col("w")).alias("v")))
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
+    assert {r.v for r in df.collect()} == {32.0} and df.count() == 20
+
+
 def test_ordered_steps_in_slices(spark):
     rows = random_stays(11, users=3, n=50, pause=(0, 4000))
     df = spark.createDataFrame([r[:7] for r in rows], STAY)
