@@ -281,7 +281,8 @@ def test_frames_of_edges_are_never_broadcast(spark, random_edges):
     """Their files are small enough here, but a row on the driver takes many times the bytes it has in one."""
     g = G.build_graph(edges(spark, [(a, b, w) for (a, b), w in random_edges.items()]), directed=True)
     t = G.edge_transitions(g, p=0.5, q=2.0)
-    for found in (G.closing_edges(g), G.near_neighbours(g), t):
+    steps = spark.createDataFrame([(1, 2, 3)], "src long, dst long, nbr long")
+    for found in (G.closing_edges(g), G.near_neighbours(g), t, G.step_probabilities(g.select("src", "dst"), g, t), G.step_probabilities(steps, g, t)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan
 
