@@ -11,6 +11,7 @@ from dwellgraph.operators import graph as G
 from dwellgraph.operators import embedding, triangles, walks as W
 from dwellgraph.operators.embedding import embed_walks
 from dwellgraph.plans.embedding import EmbeddingConfig, embed_graph
+from dwellgraph.session import CLEANUP, stored
 
 EDGES = "src long, dst long, weight double"
 
@@ -277,6 +278,19 @@ def test_lists_sent_for_triangles_are_ids(spark):
     assert [tuple(r) for r in triangles.triangles(arcs, []).collect()] == [(0, 1, 2, (0.5, 1.0), None, (1.5, 2.0), (3.0, 4.0), None, (5.0, 6.0))]
 
 
+def test_stored_frames_leave_no_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = {held.apply(k).getName() for k in range(held.size())}
+        return {name for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+    before = files()
+    df = spark.range(1000).withColumn("v", F.col("id") % 7)
+    found = stored(df.groupBy("v").count().join(df.withColumnRenamed("id", "w").hint("merge"), "v"))
+    assert not files() - before
+    assert found.count() == 1000 and spark.conf.get(CLEANUP, "false") == "false"
+
+
 def test_frames_of_edges_are_never_broadcast(spark, random_edges):
     """Their files are small enough here, but a row on the driver takes many times the bytes it has in one."""
     g = G.build_graph(edges(spark, [(a, b, w) for (a, b), w in random_edges.items()]), directed=True)
